@@ -1,7 +1,8 @@
 """From banded sketches to connected components, without all pairs of a group.
 
-1. In every band each member is tried against three members of its bucket (by id and by two hashes).
-2. Links found so far give components.
+1. In every band each member is tried against two members of its bucket: the least, and one at random.
+2. Links found so far give components. Members outside their bucket's largest component are tried
+   against some random members of it, which leaves few of them in groups of many similar texts.
 3. Within a bucket, pairs of different components are what is left to try. Members outside the
    bucket's largest component are joined with all its members; the join itself compares set sizes
    and sketches, so a dissimilar pair is no row. After that every bucket pair is linked, in one
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 from groveline.llm._shared import cut, release
 
 
+#: Random members of the largest component that each member outside it is tried against, in each band.
+REPS = 2
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Distributed union-find by alternating large and small stars: edges (a, b) to (id, component = least id)."""
     pairs = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
@@ -59,26 +64,50 @@ def link(sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, longs:
     """
     spark = sketches.sparkSession
     rows = sketches.select("id", F.explode("bands").alias("band"))
-    pick = lambda salt: F.min(F.struct(F.xxhash64("id", F.lit(salt)), "id"))["id"]
-    groups = rows.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("r0"), pick(1).alias("r1"), pick(2).alias("r2")).filter("m > 1")
+    groups = rows.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("r0"), _pick("id", 0).alias("r1")).filter("m > 1")
     rows = cut(rows.join(groups, "band"))
     release(spark)
-    tried = rows.select("id", F.explode(F.array("r0", "r1", "r2")).alias("rep")).filter("id <> rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
     side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"{c}n"), F.col("odd").alias(f"{c}odd"))
-    near = tried.join(side("a"), "a").join(side("b"), "b").filter(_alike("a", "b", longs, limit, percent)).select("a", "b")
-    edges = _confirm(cut(near), fetch, percent)
+
+    def sifted(pairs: DataFrame) -> DataFrame:
+        return cut(pairs.join(side("a"), "a").join(side("b"), "b").filter(_alike("a", "b", longs, limit, percent)).select("a", "b"))
+
+    near = sifted(_pairs(rows, "r0", "r1"))
+    edges = _confirm(near, fetch, percent)
+    known = components(edges)
+    rows = cut(rows.select("band", "id"))
+    release(spark)
+    near = sifted(_pairs(_open(rows, known, REPS).filter("c <> main"), *(f"r{i}" for i in range(REPS))))
+    edges = edges.union(_confirm(near, fetch, percent))
     known = components(edges)
     release(spark)
-    rows = rows.select("band", "id").join(known, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-    per = rows.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"))
-    open_ = per.groupBy("band").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
-    full = cut(rows.join(open_, "band").join(sketches.select("id", "n", "odd"), "id"))
+    full = cut(_open(rows, known, 0).join(sketches.select("id", "n", "odd"), "id"))
     x = full.filter("c <> main").select("band", *(F.col(k).alias(f"x{k}") for k in ("id", "n", "odd", "c")))
     y = full.select("band", *(F.col(k).alias(f"y{k}") for k in ("id", "n", "odd", "c")), (F.col("c") == F.col("main")).alias("ymain"))
     fresh = (F.col("xc") != F.col("yc")) & (F.col("ymain") | (F.col("xid") < F.col("yid")))
     rest = x.join(y, (x["band"] == y["band"]) & fresh & _alike("x", "y", longs, limit, percent)).select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b")).distinct()
-    rest = cut(rest.join(near, ["a", "b"], "left_anti"))
+    rest = cut(rest)
     release(spark)
     if rest.isEmpty():
         return known
     return components(edges.union(_confirm(rest, fetch, percent)))
+
+
+def _pick(id_: str, salt: int) -> Column:
+    """A member of the group at random, by a hash that differs from band to band."""
+    return F.min(F.struct(F.xxhash64(id_, "band", F.lit(salt)), id_))[id_]
+
+
+def _pairs(rows: DataFrame, *reps: str) -> DataFrame:
+    tried = rows.select("id", F.explode(F.array(*reps)).alias("rep")).filter("id <> rep")
+    return tried.select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
+
+
+def _open(rows: DataFrame, known: DataFrame, reps: int) -> DataFrame:
+    """Members (band, id, c) of the buckets with several components, their largest component ``main``, and members of it."""
+    rows = rows.join(known, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
+    per = rows.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"), *(_pick("id", i + 1).alias(f"r{i}") for i in range(reps)))
+    names = [f"r{i}" for i in range(reps)]
+    best = F.max(F.struct("k", "c", *names))
+    open_ = per.groupBy("band").agg(best.alias("best"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    return rows.join(open_.select("band", F.col("best.c").alias("main"), *(F.col(f"best.{n}").alias(n) for n in names)), "band")

@@ -23,8 +23,8 @@ from groveline.llm._shared import cut, flat, read_table, release, slices
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS, BITS = 28, 4, 1024
 SAMPLES = BANDS * ROWS
-#: Sketches may differ in as many bits as at an estimated similarity of SIFT; six deviations below the threshold.
-SIFT = 0.45
+#: Sketches may differ in as many bits as at an estimated similarity of SIFT, some four deviations below the threshold.
+SIFT = 0.55
 LIMIT = math.ceil(BITS / 2 * (1 - math.exp((SIFT - 1) * 4 * SAMPLES / BITS)))
 
 

@@ -30,13 +30,19 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/groveline/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def cut(df: DataFrame, *, partition_by: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
     """Write ``df`` to a scratch table and read it again: lineage ends there, and a lost executor loses nothing."""
-    spark, path = df.sparkSession, scratch(df.sparkSession)
+    spark, path = df.sparkSession, path or scratch(df.sparkSession)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table whose readers' results are already written elsewhere."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of stages whose results are already written."""
     gc.collect()

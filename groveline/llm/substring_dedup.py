@@ -1,6 +1,6 @@
 """Exact substring deduplication over a log-structured fingerprint index.
 
-Windows of 13 words are fingerprinted with two independent 64-bit hashes. History is a list of
+Windows of 13 words are fingerprinted with 64 bits and, independently, 32 more. History is a list of
 sorted immutable runs (Parquet, ordered by fingerprint). A new batch, whose documents all come
 later, is merge-joined with the runs on the first hash, verified on the second, and what was new
 becomes a run; when more than ``fanout`` runs exist they are compacted into one.
@@ -16,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groveline.llm import _words as W
-from groveline.llm._shared import cut, flat, read_table, release, scratch, slices
+from groveline.llm._shared import cut, discard, flat, read_table, release, scratch, slices
 
 WINDOW, GRAM = 13, 4
 
@@ -67,14 +68,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         at, of = at[hit], of[hit]
         ids = batch.column(0).to_numpy(zero_copy_only=False)[of]
         low, high = W.grams(words, WINDOW, 5), W.grams(words, WINDOW, 9)
-        yield pa.RecordBatch.from_arrays([pa.array(_signed(low[at])), pa.array(_signed(high[at])), pa.array(ids.astype(np.int64))], names=["low", "high", "doc_id"])
+        yield pa.RecordBatch.from_arrays([pa.array(_signed(low[at])), pa.array((high[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids.astype(np.int64))], names=["low", "high", "doc_id"])
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         data, offsets, starts, ends, docs, words, at, _ = _windows(batch.column(1))
         low = _signed(W.grams(words, WINDOW, 5)[at]) if len(at) else np.zeros(0, np.int64)
-        gone = batch.column(2)
+        gone, whole = batch.column(2), pc.fill_null(batch.column(3), False).to_pylist()
         raw = data.tobytes()
         word_edges = np.searchsorted(docs, np.arange(batch.num_rows + 1))
         window_edges = np.searchsorted(docs[at], np.arange(batch.num_rows + 1)) if len(at) else np.zeros(batch.num_rows + 1, int)
@@ -82,7 +83,9 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d in range(batch.num_rows):
             a, b = word_edges[d], word_edges[d + 1]
             keep = np.ones(b - a, bool)
-            if gone[d].is_valid and b > a:
+            if whole[d] and b - a >= WINDOW:
+                keep[:] = False
+            elif gone[d].is_valid and b > a:
                 u, v = window_edges[d], window_edges[d + 1]
                 hit = at[u:v][np.isin(low[u:v], gone[d].values.to_numpy(zero_copy_only=False))] - a
                 step = np.zeros(b - a + 1, np.int64)
@@ -109,23 +112,29 @@ class FingerprintIndex:
         return path
 
     def history(self) -> DataFrame | None:
-        return self.spark.read.schema("low long, high long").parquet(*self.runs) if self.runs else None
+        return self.spark.read.schema("low long, high int").parquet(*self.runs) if self.runs else None
 
     def add(self, windows: DataFrame) -> DataFrame:
         """Merge-join a batch (low, high, doc_id; later than all before it) and absorb it; returns (doc_id, low) of its repeats."""
         keys = windows.groupBy("low", "high").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         old = self.history()
         seen = keys.join(old.withColumn("seen", F.lit(True)), ["low", "high"], "left") if old is not None else keys.withColumn("seen", F.lit(None).cast("boolean"))
-        keys = cut(seen.withColumn("seen", F.coalesce("seen", F.lit(False))))
+        path = scratch(self.spark)
+        keys = cut(seen.withColumn("seen", F.coalesce("seen", F.lit(False))), path=path)
         self.runs.append(self._write(keys.filter(~F.col("seen"))))
+        release(self.spark)
         if len(self.runs) > self.fanout:
             self.compact()
         known = keys.filter(F.col("seen") | (F.col("first") < F.col("last"))).drop("last")
         hits = windows.join(known, ["low", "high"]).filter(F.col("seen") | (F.col("doc_id") > F.col("first")))
-        return cut(hits.select("doc_id", "low"))
+        out = cut(hits.select("doc_id", "low").distinct())
+        discard(self.spark, path)
+        return out
 
     def compact(self) -> None:
-        self.runs = [self._write(self.history())]
+        old, self.runs = self.runs, [self._write(self.history())]
+        for path in old:
+            discard(self.spark, path)
 
 
 def substring_dedup(docs: DataFrame, batches: int = 3, fanout: int = 2) -> DataFrame:
@@ -141,18 +150,26 @@ def substring_dedup(docs: DataFrame, batches: int = 3, fanout: int = 2) -> DataF
     anchors = known.mapInArrow(_anchors, "anchor long, doc_id long")
     shared = cut(anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor"))
     release(spark)
-    flagged = anchors.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    # Whole copies of earlier texts lose every window at once and bring nothing new: they stay out of the index.
+    texts = known.select("doc_id", F.sha2("text", 256).alias("digest"))
+    owners = texts.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = cut(texts.join(owners, "digest", "left").groupBy("doc_id").agg(F.min(F.coalesce(F.col("doc_id") > F.col("owner"), F.lit(False))).alias("copy")).filter("copy"))
+    flagged = anchors.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")).join(copies, "doc_id", "left_anti")
     edges = known.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     batch = sum((F.when(F.col("doc_id") > e, 1).otherwise(0) for e in edges), F.lit(0))
-    windows = cut(known.join(flagged, "doc_id").mapInArrow(_fingerprints, "low long, high long, doc_id long").withColumn("batch", batch), partition_by=("batch",))
+    path = scratch(spark)
+    windows = cut(known.join(flagged, "doc_id").mapInArrow(_fingerprints, "low long, high int, doc_id long").withColumn("batch", batch), partition_by=("batch",), path=path)
     release(spark)
     index, hits = FingerprintIndex(spark, fanout), None
     for b in range(len(set(edges)) + 1 if edges else 1):
         found = index.add(windows.filter(F.col("batch").isin([v for v in _levels(edges, b)])).drop("batch"))
         hits = found if hits is None else hits.unionByName(found)
+        for v in _levels(edges, b):
+            discard(spark, f"{path}/batch={v}")
         release(spark)
     gone = hits.groupBy("doc_id").agg(F.collect_set("low").alias("gone"))
-    return docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept_text string")
+    gone = gone.join(copies, "doc_id", "full")
+    return docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone", "copy").mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def _levels(edges: list[int], b: int) -> list[int]:

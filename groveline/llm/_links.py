@@ -51,6 +51,7 @@ def _confirm(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent:
     """Those of (a, b) with 100 * |A & B| >= percent * |A | B|, on the full sets."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = cut(fetch(ids))
+    release(pairs.sparkSession)
     left, right = sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), sets.select(F.col("id").alias("b"), F.col("members").alias("mb"))
     both = F.size(F.array_intersect("ma", "mb"))
     sized = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("ma") + F.size("mb") - both).alias("any"))
@@ -64,18 +65,19 @@ def link(sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, longs:
     """
     spark = sketches.sparkSession
     rows = sketches.select("id", F.explode("bands").alias("band"))
-    groups = rows.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("r0"), _pick("id", 0).alias("r1")).filter("m > 1")
-    rows = cut(rows.join(groups, "band"))
+    full = cut(rows.groupBy("band").agg(F.min("id").alias("r0"), F.max("id").alias("r1")).filter("r0 < r1").select("band"))
     release(spark)
+    rows = cut(rows.join(full, "band", "left_semi"))
+    release(spark)
+    groups = rows.groupBy("band").agg(F.min("id").alias("r0"), _pick("id", 0).alias("r1"))
     side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"{c}n"), F.col("odd").alias(f"{c}odd"))
 
     def sifted(pairs: DataFrame) -> DataFrame:
         return cut(pairs.join(side("a"), "a").join(side("b"), "b").filter(_alike("a", "b", longs, limit, percent)).select("a", "b"))
 
-    near = sifted(_pairs(rows, "r0", "r1"))
+    near = sifted(_pairs(rows.join(groups, "band"), "r0", "r1"))
     edges = _confirm(near, fetch, percent)
     known = components(edges)
-    rows = cut(rows.select("band", "id"))
     release(spark)
     near = sifted(_pairs(_open(rows, known, REPS).filter("c <> main"), *(f"r{i}" for i in range(REPS))))
     edges = edges.union(_confirm(near, fetch, percent))

@@ -29,28 +29,36 @@ PHRASE = re.compile(r"(?i)all rights reserved|copyright\s+(?:\(c\)|©|\d{4})|©\
 LEAST_LEFT = 50
 
 
-def line_verdict(line: str) -> str | None:
-    """The first rule that a line with a word fails, or None."""
-    solid = sum(map(len, WORD.findall(line)))
-    if 100 * len(MARKS.findall(line)) > MOST_MARKS * solid:
+_SPACES = " \t\n\v\f\r"
+_MARKS, _SYMBOLS, _SEPARATORS = "#*$%&|<>{}[]\\~^=!?", "#*$%&|<>", "|>»·•/:"
+#: A line with a phrase has one of these when its case is folded, so texts without them need no search.
+_TRIGGERS = ("rights reserved", "copyright", "©", "terms of", "privacy policy", "cookie", "subscribe to", "click here", "javascript", "lorem ipsum", "licensed under", "permission is", "without warranty", "powered by")
+
+
+def _solid(text: str) -> int:
+    """Characters in words."""
+    return len(text) - sum(map(text.count, _SPACES))
+
+
+def line_verdict(line: str, solid: int, marks: bool = True, separators: bool = True, phrases: bool = True) -> str | None:
+    """The first rule that a line with a word fails, or None. The flags tell what its text may hold at all."""
+    if marks and 100 * sum(map(line.count, _MARKS)) > MOST_MARKS * solid:
         return "punctuation"
-    if len(SEPARATOR.findall(line)) > MOST_SEPARATORS or MENU.match(line):
+    if separators and len(SEPARATOR.findall(line)) > MOST_SEPARATORS or MENU.match(line):
         return "navigation"
-    if PHRASE.search(line):
+    if phrases and PHRASE.search(line):
         return "boilerplate"
     return None
 
 
-def repeated_words(words: list[str], n: int = WINDOW) -> int:
+def repeated_words(words: list[bytes], n: int = WINDOW) -> int:
     """Words in ``n``-word windows that the text has twice or more, the first included."""
-    ids: dict[str, int] = {}
-    codes = [ids.setdefault(w, len(ids)) for w in words]
-    if len(codes) == len(ids):
+    if len(set(words)) == len(words):
         return 0
-    windows = list(zip(*(codes[i:] for i in range(n)), strict=False))
-    counts = Counter(windows)
-    if len(counts) == len(windows):
+    windows = list(zip(*(words[i:] for i in range(n)), strict=False))
+    if len(set(windows)) == len(windows):
         return 0
+    counts = Counter(windows)
     total, upto = 0, 0
     for i, w in enumerate(windows):
         if counts[w] > 1:
@@ -62,23 +70,25 @@ def repeated_words(words: list[str], n: int = WINDOW) -> int:
 def judge(text: str | None) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, cleaned text."""
     text = text or ""
-    words = WORD.findall(text)
-    chars = sum(map(len, words))
+    words = text.encode().split()  # bytes part at exactly \x20 and \x09-\x0D
+    chars = _solid(text)
+    folded = text.casefold()
+    may = (any(c in text for c in _MARKS), any(c in text for c in _SEPARATORS), any(t in folded for t in _TRIGGERS))
     seen, dup, left, lines = set(), 0, 0, []
     for line in text.split("\n"):
-        own = WORD.findall(line)
-        if not own:
+        solid = _solid(line)
+        if not solid:
             lines.append(line)
             continue
         dup += line in seen
         seen.add(line)
-        if line_verdict(line) is None:
+        if line_verdict(line, solid, *may) is None:
             lines.append(line)
-            left += sum(map(len, own))
+            left += solid
     repeat = repeated_words(words)
     failed = len(words) < 20 or 100 * repeat > 30 * len(words)
     kept = not failed and 100 * left >= LEAST_LEFT * chars
-    return len(words), chars, len(SYMBOL.findall(text)), dup, repeat, failed, kept, "\n".join(lines)
+    return len(words), chars, sum(map(text.count, _SYMBOLS)), dup, repeat, failed, kept, "\n".join(lines)
 
 
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text")

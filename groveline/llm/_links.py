@@ -47,21 +47,26 @@ def _alike(a: str, b: str, longs: int, limit: int, percent: int) -> Column:
     return sizes & (bits <= limit)
 
 
-def _confirm(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """Those of (a, b) with 100 * |A & B| >= percent * |A | B|, on the full sets."""
+def shared_members(pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of (a, b, ma array<long>, mb) with 100 * |A & B| >= percent * |A | B|."""
+    both = F.size(F.array_intersect("ma", "mb"))
+    sized = pairs.select("a", "b", both.alias("both"), (F.size("ma") + F.size("mb") - both).alias("any"))
+    return sized.filter(F.col("both") * 100 >= F.col("any") * percent).select("a", "b")
+
+
+def _confirm(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, test: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """Those of (a, b) that pass ``test`` on what ``fetch`` gives for both."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = cut(fetch(ids))
     release(pairs.sparkSession)
     left, right = sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), sets.select(F.col("id").alias("b"), F.col("members").alias("mb"))
-    both = F.size(F.array_intersect("ma", "mb"))
-    sized = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("ma") + F.size("mb") - both).alias("any"))
-    return cut(sized.filter(F.col("both") * 100 >= F.col("any") * percent).select("a", "b"))
+    return cut(test(pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb"), percent))
 
 
-def link(sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, longs: int, limit: int, percent: int) -> DataFrame:
+def link(sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, longs: int, limit: int, percent: int, test: Callable[[DataFrame, int], DataFrame] = shared_members) -> DataFrame:
     """Components of (id, n, bands array<long>, odd array<long>) as (id, component); ids without a link are left out.
 
-    ``fetch`` turns ids into (id, members array<long>, distinct). ``limit``: most differing sketch bits.
+    ``fetch`` turns ids into (id, members), one row each; ``test`` keeps pairs by both members. ``limit``: most differing sketch bits.
     """
     spark = sketches.sparkSession
     rows = sketches.select("id", F.explode("bands").alias("band"))
@@ -76,11 +81,11 @@ def link(sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, longs:
         return cut(pairs.join(side("a"), "a").join(side("b"), "b").filter(_alike("a", "b", longs, limit, percent)).select("a", "b"))
 
     near = sifted(_pairs(rows.join(groups, "band"), "r0", "r1"))
-    edges = _confirm(near, fetch, percent)
+    edges = _confirm(near, fetch, percent, test)
     known = components(edges)
     release(spark)
     near = sifted(_pairs(_open(rows, known, REPS).filter("c <> main"), *(f"r{i}" for i in range(REPS))))
-    edges = edges.union(_confirm(near, fetch, percent))
+    edges = edges.union(_confirm(near, fetch, percent, test))
     known = components(edges)
     release(spark)
     full = cut(_open(rows, known, 0).join(sketches.select("id", "n", "odd"), "id"))
@@ -92,7 +97,7 @@ def link(sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, longs:
     release(spark)
     if rest.isEmpty():
         return known
-    return components(edges.union(_confirm(rest, fetch, percent)))
+    return components(edges.union(_confirm(rest, fetch, percent, test)))
 
 
 def _pick(id_: str, salt: int) -> Column:

@@ -22,7 +22,7 @@ SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 12, 3
 BINS = BANDS * ROWS
 #: Of the one-bit signatures, as many bits may differ; at the threshold some 4 of the 36 do.
-LIMIT = 14
+LIMIT = 11
 _BLANK = " \t\n\v\f\r"
 _FULL = np.uint64(2**64 - 1)
 
@@ -113,7 +113,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct shingles of the wanted lines; columns text, wanted (ids)."""
+    """The wanted lines themselves, a fraction of the size of their shingle sets; columns text, wanted (ids)."""
     for batch in slices(batches, "text"):
         ids, lines = [], []
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -122,17 +122,26 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if line.strip(_BLANK) and (own := line_id(line)) in wanted:
                     ids.append(own)
                     lines.append(line)
-        at = 0
-        for part in _parts(lines):
-            low, of = _shingles(part)
-            order = np.lexsort((low, of))
-            low, of = low[order], of[order]
-            new = np.ones(len(low), bool)
-            new[1:] = (low[1:] != low[:-1]) | (of[1:] != of[:-1])
-            low, of = low[new], of[new]
-            bounds = np.searchsorted(of, np.arange(len(part) + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + len(part)], pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(low.view(np.int64)))], names=["id", "members"])
-            at += len(part)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], names=["id", "members"])
+
+
+def _set(line: str) -> set[str]:
+    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+
+
+def exact_jaccard(pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of (a, b, ma, mb) whose lines have that similarity, counted on the shingles themselves."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                a, b = _set(x), _set(y)
+                both = len(a & b)
+                good.append(100 * both >= percent * (len(a) + len(b) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.mapInArrow(keep, "a long, b long")
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,9 +189,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     def fetch(ids: DataFrame) -> DataFrame:
         wanted = firsts.join(ids.withColumnRenamed("id", "line"), "line").groupBy(F.col("first").alias("doc_id")).agg(F.collect_set("line").alias("wanted"))
-        return known.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_members, "id long, members array<long>").dropDuplicates(["id"])
+        return known.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_members, "id long, members string").dropDuplicates(["id"])
 
-    linked = link(sketches, fetch, longs=1, limit=LIMIT, percent=PERCENT)
+    linked = link(sketches, fetch, longs=1, limit=LIMIT, percent=PERCENT, test=exact_jaccard)
     release(spark)
     grouped = linked.withColumnRenamed("id", "line").join(firsts, "line")
     owners = grouped.groupBy("component").agg(F.min("first").alias("owner"))

@@ -16,9 +16,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groveline.llm._shared import cut, release
-
+from groveline.llm._shared import cut, discard, release, scratch
 
+#: Most differing sketch bits, or a function of the smaller n of the two that gives them.
+Limit = int | Callable[[Column], Column]
 #: Random members of the largest component that each member outside it is tried against, in each band.
 REPS = 2
 
@@ -41,10 +42,11 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def _alike(a: str, b: str, longs: int, limit: int, percent: int) -> Column:
+def _alike(a: str, b: str, longs: int, limit: Limit, percent: int | None) -> Column:
     bits = sum((F.bit_count(F.col(f"{a}odd")[i].bitwiseXOR(F.col(f"{b}odd")[i])) for i in range(longs)), F.lit(0))
-    sizes = F.least(f"{a}n", f"{b}n") * 100 >= F.greatest(f"{a}n", f"{b}n") * percent
-    return sizes & (bits <= limit)
+    low, high = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
+    near = bits <= (limit(low) if callable(limit) else limit)
+    return near & (low * 100 >= high * percent) if percent else near
 
 
 def shared_members(pairs: DataFrame, percent: int) -> DataFrame:
@@ -57,28 +59,35 @@ def shared_members(pairs: DataFrame, percent: int) -> DataFrame:
 def _confirm(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, test: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
     """Those of (a, b) that pass ``test`` on what ``fetch`` gives for both."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = cut(fetch(ids))
-    release(pairs.sparkSession)
+    spark, path = pairs.sparkSession, scratch(pairs.sparkSession)
+    sets = cut(fetch(ids), path=path)
+    release(spark)
     left, right = sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), sets.select(F.col("id").alias("b"), F.col("members").alias("mb"))
-    return cut(test(pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb"), percent))
+    out = cut(test(pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb"), percent))
+    discard(spark, path)
+    release(spark)
+    return out
 
 
-def link(sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, longs: int, limit: int, percent: int, test: Callable[[DataFrame, int], DataFrame] = shared_members) -> DataFrame:
+def link(sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, longs: int, limit: Limit, percent: int, sized: bool = True, test: Callable[[DataFrame, int], DataFrame] = shared_members) -> DataFrame:
     """Components of (id, n, bands array<long>, odd array<long>) as (id, component); ids without a link are left out.
 
-    ``fetch`` turns ids into (id, members), one row each; ``test`` keeps pairs by both members. ``limit``: most differing sketch bits.
+    ``fetch`` turns ids into (id, members), one row each; ``test`` keeps pairs by both members.
+    ``sized``: n is the size of the set, so that sizes alone can rule a pair out.
     """
     spark = sketches.sparkSession
     rows = sketches.select("id", F.explode("bands").alias("band"))
-    full = cut(rows.groupBy("band").agg(F.min("id").alias("r0"), F.max("id").alias("r1")).filter("r0 < r1").select("band"))
+    path = scratch(spark)
+    full = cut(rows.groupBy("band").agg(F.min("id").alias("r0"), F.max("id").alias("r1")).filter("r0 < r1").select("band"), path=path)
     release(spark)
     rows = cut(rows.join(full, "band", "left_semi"))
+    discard(spark, path)
     release(spark)
     groups = rows.groupBy("band").agg(F.min("id").alias("r0"), _pick("id", 0).alias("r1"))
     side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"{c}n"), F.col("odd").alias(f"{c}odd"))
 
     def sifted(pairs: DataFrame) -> DataFrame:
-        return cut(pairs.join(side("a"), "a").join(side("b"), "b").filter(_alike("a", "b", longs, limit, percent)).select("a", "b"))
+        return cut(pairs.join(side("a"), "a").join(side("b"), "b").filter(_alike("a", "b", longs, limit, percent if sized else None)).select("a", "b"))
 
     near = sifted(_pairs(rows.join(groups, "band"), "r0", "r1"))
     edges = _confirm(near, fetch, percent, test)
@@ -92,7 +101,7 @@ def link(sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, longs:
     x = full.filter("c <> main").select("band", *(F.col(k).alias(f"x{k}") for k in ("id", "n", "odd", "c")))
     y = full.select("band", *(F.col(k).alias(f"y{k}") for k in ("id", "n", "odd", "c")), (F.col("c") == F.col("main")).alias("ymain"))
     fresh = (F.col("xc") != F.col("yc")) & (F.col("ymain") | (F.col("xid") < F.col("yid")))
-    rest = x.join(y, (x["band"] == y["band"]) & fresh & _alike("x", "y", longs, limit, percent)).select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b")).distinct()
+    rest = x.join(y, (x["band"] == y["band"]) & fresh & _alike("x", "y", longs, limit, percent if sized else None)).select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b")).distinct()
     rest = cut(rest)
     release(spark)
     if rest.isEmpty():

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groveline.llm import _words as W
@@ -20,13 +20,18 @@ from groveline.llm._shared import cut, read_table, release, slices
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 12, 3
-BINS = BANDS * ROWS
-#: Of the one-bit signatures, as many bits may differ; at the threshold some 4 of the 36 do.
-LIMIT = 11
+#: Bins of a signature; the bands use the first, and one bit of each makes the sketch that sifts candidates.
+BINS = 128
 _BLANK = " \t\n\v\f\r"
 _FULL = np.uint64(2**64 - 1)
 
 
+def most_bits(filled: Column) -> Column:
+    """Bits in which sketches may differ: the mean at the threshold and 4.5 deviations, for that many filled bins."""
+    share = (1 - PERCENT / 100) / 2
+    return BINS * (share + 4.5 * F.sqrt(F.lit(share * (1 - share)) / filled))
+
+
 def lines_of(text: str | None) -> list[str]:
     """Lines between ``\\n``; those without a word are never compared and never removed."""
     return (text or "").split("\n")
@@ -55,10 +60,11 @@ def _shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return low, of
 
 
-def _signatures(low: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+def _signatures(low: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     bins = np.full(n * BINS, _FULL)
     np.minimum.at(bins, of * BINS + (low % np.uint64(BINS)).astype(np.int64), low)
     bins = bins.reshape(n, BINS)
+    filled = (bins != _FULL).sum(1)
     for _ in range(BINS):
         empty = bins == _FULL
         rows = np.flatnonzero(empty.any(1))
@@ -67,7 +73,7 @@ def _signatures(low: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
         part = bins[rows]
         moved = np.roll(part, -1, 1)
         bins[rows] = np.where(empty[rows] & (moved != _FULL), moved + np.uint64(0x9E3779B97F4A7C15), part)
-    return W.mix(bins)
+    return W.mix(bins), filled
 
 
 def _parts(lines: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
@@ -99,17 +105,14 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = list(dict.fromkeys(x for t in batch.column(0).to_pylist() for x in lines_of(t) if x.strip(_BLANK)))
         for lines in _parts(every):
             low, of = _shingles(lines)
-            bins = _signatures(low, of, len(lines))
-            bands = bins[:, :: ROWS].copy()
+            bins, filled = _signatures(low, of, len(lines))
+            bands = bins[:, 0 : BANDS * ROWS : ROWS].copy()
             for r in range(1, ROWS):
-                bands = W.mix(bands ^ bins[:, r::ROWS], 7)
+                bands = W.mix(bands ^ bins[:, r : BANDS * ROWS : ROWS], 7)
             bands = W.mix(bands ^ np.arange(BANDS, dtype=np.uint64), 11)
-            odd = np.zeros(len(lines), np.uint64)
-            for k in range(BINS):
-                odd |= (bins[:, k] & np.uint64(1)) << np.uint64(k)
-            n = np.ones(len(lines), np.int64)  # sizes of the distinct sets aren't known here: no line is sifted by size
+            odd = np.packbits((bins & np.uint64(1)).astype(np.uint8), axis=1).view(np.uint64)
             lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).reshape(-1)), x.shape[1]).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([line_id(x) for x in lines], pa.int64()), pa.array(n, pa.int64()), lists(bands), lists(odd[:, None])], names=["id", "n", "bands", "odd"])
+            yield pa.RecordBatch.from_arrays([pa.array([line_id(x) for x in lines], pa.int64()), pa.array(filled, pa.int64()), lists(bands), lists(odd)], names=["id", "n", "bands", "odd"])
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +194,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
         wanted = firsts.join(ids.withColumnRenamed("id", "line"), "line").groupBy(F.col("first").alias("doc_id")).agg(F.collect_set("line").alias("wanted"))
         return known.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_members, "id long, members string").dropDuplicates(["id"])
 
-    linked = link(sketches, fetch, longs=1, limit=LIMIT, percent=PERCENT, test=exact_jaccard)
+    linked = link(sketches, fetch, longs=BINS // 64, limit=most_bits, percent=PERCENT, sized=False, test=exact_jaccard)
     release(spark)
     grouped = linked.withColumnRenamed("id", "line").join(firsts, "line")
     owners = grouped.groupBy("component").agg(F.min("first").alias("owner"))

@@ -6,15 +6,13 @@ not on the white space between them or on where a document lies in its batch.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 _U = np.uint64
 
 
@@ -26,16 +24,17 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@lru_cache(8)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(base, -1, 2**64)
-    up, down = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(base, 1 << max(12, (max(n, 1) - 1).bit_length()))
+    """The first ``n`` powers of ``base`` and of its inverse; the longest so far is kept."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        size = 1 << max(12, (max(n, 1) - 1).bit_length())
+        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 2**64), np.uint64)
+        up[0] = down[0] = 1
+        _POWERS[base] = np.cumprod(up), np.cumprod(down)
+    up, down = _POWERS[base]
     return up[:n], down[:n]
 
 

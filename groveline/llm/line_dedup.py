@@ -76,7 +76,7 @@ def _signatures(low: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np
     return W.mix(bins), filled
 
 
-def _parts(lines: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
+def _parts(lines: list[str], most: int = 1 << 18) -> Iterator[list[str]]:
     part, size = [], 0
     for x in lines:
         part.append(x)

@@ -10,16 +10,17 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from groveline.llm._shared import read_table
+from groveline.llm._shared import read_table, slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens whose ids a worker remembers; it is kept in two generations. Results don't depend on it.
@@ -163,32 +164,31 @@ def load(path: str | None = None, pattern: str | None = None) -> ByteBPE:
     return ByteBPE(ranks, pattern or public_tokenizers.PATTERN)
 
 
+def _with(df: DataFrame, source: str, target: str, f: Callable[[ByteBPE], Callable], path: str | None, pattern: str | None) -> DataFrame:
+    """``df`` and binary column ``target``, made from ``source`` in slices of bounded bytes."""
+    df = df.drop(target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = f(load(path, pattern))
+        for batch in slices(batches, source):
+            values = batch.column(batch.schema.get_field_index(source)).to_pylist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(make, values), pa.binary(), size=len(values))], names=[*batch.schema.names, target])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(target, BinaryType())]))
+
+
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """All columns of ``docs`` and ``token_ids`` (binary: ids as little-endian u32).
 
     Null text is empty: no ids. Rows are independent; a column already so named is replaced.
     The vocabulary is read where the executors run, by ``path``.
     """
-
-    @F.pandas_udf("binary")
-    def ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = load(path, pattern)
-        for texts in parts:
-            yield pd.Series([bpe.encode(t or "") for t in texts], dtype=object)
-
-    return docs.withColumn("token_ids", ids("text"))
+    return _with(docs, "text", "token_ids", lambda bpe: lambda t: bpe.encode(t or ""), path, pattern)
 
 
 def decode(tokens: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """All columns of ``tokens`` and ``decoded`` (binary: the bytes that ``token_ids`` stand for); null ids are none."""
-
-    @F.pandas_udf("binary")
-    def raw(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = load(path, pattern)
-        for ids in parts:
-            yield pd.Series([bpe.decode(x or b"") for x in ids], dtype=object)
-
-    return tokens.withColumn("decoded", raw("token_ids"))
+    return _with(tokens, "token_ids", "decoded", lambda bpe: lambda x: bpe.decode(x or b""), path, pattern)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

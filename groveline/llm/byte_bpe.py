@@ -24,7 +24,7 @@ from groveline.llm._shared import read_table, slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens whose ids a worker remembers; it is kept in two generations. Results don't depend on it.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 250_000, 64
 
 
 _BIT = [1 << i for i in range(256)]

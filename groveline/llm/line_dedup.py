@@ -19,7 +19,7 @@ from groveline.llm._links import link
 from groveline.llm._shared import cut, read_table, release, slices
 
 SHINGLE, PERCENT = 5, 80
-BANDS, ROWS = 12, 3
+BANDS, ROWS = 16, 4
 #: Bins of a signature; the bands use the first, and one bit of each makes the sketch that sifts candidates.
 BINS = 128
 _BLANK = " \t\n\v\f\r"

@@ -6,11 +6,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import StructField, StructType
 
-from groveline.llm._shared import read_table
+from groveline.llm._shared import read_table, slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -92,12 +94,7 @@ def judge(text: str | None) -> tuple:
 
 
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text")
-_TYPES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, clean_text string"
-
-
-def _judged(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for texts in parts:
-        yield pd.DataFrame([judge(t) for t in texts], columns=COLUMNS)
+_KINDS = pa.struct([(c, pa.bool_() if c in ("base_failed", "kept") else pa.string() if c == "clean_text" else pa.int64()) for c in COLUMNS])
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -106,7 +103,14 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     Null text is empty: no words, so base_failed. Rows are judged one by one (repeated rows alike);
     a column already named ``quality`` is replaced. Blank lines stay as they are.
     """
-    return docs.withColumn("quality", F.pandas_udf(_judged, _TYPES)("text"))
+    docs = docs.drop("quality")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            judged = [dict(zip(COLUMNS, judge(t), strict=True)) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(judged, _KINDS)], names=[*batch.schema.names, "quality"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("quality", from_arrow_type(_KINDS))]))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

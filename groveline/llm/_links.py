@@ -69,20 +69,23 @@ def _confirm(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent:
     return out
 
 
-def link(sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, longs: int, limit: Limit, percent: int, sized: bool = True, test: Callable[[DataFrame, int], DataFrame] = shared_members) -> DataFrame:
+def link(sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, longs: int, limit: Limit, percent: int, sized: bool = True, path: str | None = None, test: Callable[[DataFrame, int], DataFrame] = shared_members) -> DataFrame:
     """Components of (id, n, bands array<long>, odd array<long>) as (id, component); ids without a link are left out.
 
     ``fetch`` turns ids into (id, members), one row each; ``test`` keeps pairs by both members.
-    ``sized``: n is the size of the set, so that sizes alone can rule a pair out.
+    ``path``: where ``sketches`` lies, if it may be deleted once the bands are read. ``sized``: n is the size of the set, so that sizes alone can rule a pair out.
     """
     spark = sketches.sparkSession
     rows = sketches.select("id", F.explode("bands").alias("band"))
-    path = scratch(spark)
-    full = cut(rows.groupBy("band").agg(F.min("id").alias("r0"), F.max("id").alias("r1")).filter("r0 < r1").select("band"), path=path)
+    shared = scratch(spark)
+    full = cut(rows.groupBy("band").agg(F.min("id").alias("r0"), F.max("id").alias("r1")).filter("r0 < r1").select("band"), path=shared)
     release(spark)
     rows = cut(rows.join(full, "band", "left_semi"))
-    discard(spark, path)
+    discard(spark, shared)
     release(spark)
+    sketches = cut(sketches.select("id", "n", "odd"))
+    if path:
+        discard(spark, path)
     groups = rows.groupBy("band").agg(F.min("id").alias("r0"), _pick("id", 0).alias("r1"))
     side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"{c}n"), F.col("odd").alias(f"{c}odd"))
 
@@ -122,8 +125,10 @@ def _pairs(rows: DataFrame, *reps: str) -> DataFrame:
 def _open(rows: DataFrame, known: DataFrame, reps: int) -> DataFrame:
     """Members (band, id, c) of the buckets with several components, their largest component ``main``, and members of it."""
     rows = rows.join(known, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
+    mixed = rows.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("band")
+    rows = cut(rows.join(mixed, "band", "left_semi"))
+    release(rows.sparkSession)
     per = rows.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"), *(_pick("id", i + 1).alias(f"r{i}") for i in range(reps)))
     names = [f"r{i}" for i in range(reps)]
-    best = F.max(F.struct("k", "c", *names))
-    open_ = per.groupBy("band").agg(best.alias("best"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    open_ = per.groupBy("band").agg(F.max(F.struct("k", "c", *names)).alias("best"))
     return rows.join(open_.select("band", F.col("best.c").alias("main"), *(F.col(f"best.{n}").alias(n) for n in names)), "band")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from groveline.llm import _words as W
 from groveline.llm._links import link
-from groveline.llm._shared import cut, read_table, release, slices
+from groveline.llm._shared import cut, read_table, release, scratch, slices
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 16, 4
@@ -187,14 +187,15 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     places = cut(known.mapInArrow(_places, "line long, doc_id long"))
     firsts = cut(places.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
     sketches = known.select("text").mapInArrow(_sketches, "id long, n long, bands array<long>, odd array<long>")
-    sketches = cut(sketches.dropDuplicates(["id"]))
+    path = scratch(spark)
+    sketches = cut(sketches.dropDuplicates(["id"]), path=path)
     release(spark)
 
     def fetch(ids: DataFrame) -> DataFrame:
         wanted = firsts.join(ids.withColumnRenamed("id", "line"), "line").groupBy(F.col("first").alias("doc_id")).agg(F.collect_set("line").alias("wanted"))
         return known.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_members, "id long, members string").dropDuplicates(["id"])
 
-    linked = link(sketches, fetch, longs=BINS // 64, limit=most_bits, percent=PERCENT, sized=False, test=exact_jaccard)
+    linked = link(sketches, fetch, longs=BINS // 64, limit=most_bits, percent=PERCENT, sized=False, path=path, test=exact_jaccard)
     release(spark)
     grouped = linked.withColumnRenamed("id", "line").join(firsts, "line")
     owners = grouped.groupBy("component").agg(F.min("first").alias("owner"))

@@ -18,6 +18,8 @@ GRAMS, WIDTH = (1, 2, 3, 4), 1 << 12
 CENTROIDS, ROUNDS = 4, 12
 #: The classifier is fitted on about so many texts of each language (all, if it has fewer), chosen by a hash of doc_id.
 SAMPLE = 600
+#: Language counts are broadcast if there are no more languages than this.
+MOST_BROADCAST = 10_000
 #: A text farther from its centroid than this share of the training texts is marked as not accepted.
 REJECT = 0.995
 _LETTERS = np.full(256, 0x20, np.uint8)
@@ -99,6 +101,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learn from ``text`` and ``lang`` of rows that have both, a doc_id, and a letter in the text."""
     known = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").filter(F.col("text").rlike(r"\p{L}"))
     sizes = known.groupBy("lang").count()
+    if len(sizes.limit(MOST_BROADCAST + 1).collect()) <= MOST_BROADCAST:
+        sizes = F.broadcast(sizes)  # else the texts are dealt out by language
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     chosen = known.join(sizes, "lang").filter(unit < F.lit(sample) / F.col("count")).select("doc_id", "text", "lang")
 

@@ -1,6 +1,8 @@
 """From banded sketches to connected components, without all pairs of a group.
 
-1. In every band each member is tried against two members of its bucket: the least, and one at random.
+1. In every band each member is tried against two members of its bucket: the least, and the one before
+   it in order of ids. Buckets are read off rows sorted by band, so band rows are shuffled once; buckets
+   that a sample shows to hold a great share of all rows are taken out first and never shuffled as one.
 2. Links found so far give components. Members outside their bucket's largest component are tried
    against some random members of it, which leaves few of them in groups of many similar texts.
 3. Within a bucket, pairs of different components are what is left to try. Members outside the
@@ -11,8 +13,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +26,8 @@ from groveline.llm._shared import cut, discard, release, scratch
 Limit = int | Callable[[Column], Column]
 #: Random members of the largest component that each member outside it is tried against, in each band.
 REPS = 2
+#: Buckets of more than 1 in HOT band rows, as told by a sample, are split over tasks; so there are about HOT at most.
+HOT, SAMPLE = 2000, 0.01
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -69,30 +75,69 @@ def _confirm(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent:
     return out
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (band, id) sorted so, those of bands with several ids: band, id, least id, id before (or itself)."""
+    last: tuple[int, int, int, bool] | None = None  # band, id, least id of the band, still alone
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        band, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        if last:
+            band, own = np.concatenate([[last[0]], band]), np.concatenate([[last[1]], own])
+        new = np.ones(len(band), bool)
+        new[1:] = (band[1:] != band[:-1]) | (own[1:] != own[:-1])
+        band, own = band[new], own[new]
+        start = np.ones(len(band), bool)
+        start[1:] = band[1:] != band[:-1]
+        least = own[np.maximum.accumulate(np.where(start, np.arange(len(band)), 0))]
+        if last:
+            least[: int(np.argmax(start[1:])) + 1 if start[1:].any() else len(band)] = last[2]
+        before = np.where(start, own, np.concatenate([own[:1], own[:-1]]))
+        several = ~start
+        several[:-1] |= ~start[1:]
+        if last and not last[3]:
+            several[0] = False  # given with the batch before
+        alone = bool(start[-1]) and (len(band) > 1 or not last or last[3])
+        last = (int(band[-1]), int(own[-1]), int(least[-1]), alone)
+        yield pa.RecordBatch.from_arrays([pa.array(x[several], pa.int64()) for x in (band, own, least, before)], names=["band", "id", "r0", "r1"])
+
+
+def _crowded(sketches: DataFrame) -> DataFrame:
+    """Members (band, id, r0, r1) of the buckets of several ids, r0 and r1 two members to try; ids may repeat in ``sketches``."""
+    bands = lambda df: df.select(F.explode("bands").alias("band"), "id")
+    rows, schema = bands(sketches), "band long, id long, r0 long, r1 long"
+    drawn = cut(bands(sketches.sample(SAMPLE, 1)).groupBy("band").agg(F.count(F.lit(1)).alias("k")))
+    least = max(100, (drawn.agg(F.sum("k")).first()[0] or 0) // HOT)
+    hot = cut(drawn.filter(F.col("k") >= least).select("band"))
+    runs = lambda df: df.repartition("band").sortWithinPartitions("band", "id").mapInArrow(_runs, schema)
+    if hot.isEmpty():
+        return runs(rows)
+    split = rows.join(F.broadcast(hot), "band")
+    reps = cut(split.groupBy("band").agg(F.min("id").alias("r0"), _pick("id", 0).alias("r1")))
+    members = split.dropDuplicates(["band", "id"]).join(F.broadcast(reps), "band").select("band", "id", "r0", "r1")
+    return runs(rows.join(F.broadcast(hot), "band", "left_anti").select("band", "id")).union(members)
+
+
 def link(sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, longs: int, limit: Limit, percent: int, sized: bool = True, path: str | None = None, test: Callable[[DataFrame, int], DataFrame] = shared_members) -> DataFrame:
-    """Components of (id, n, bands array<long>, odd array<long>) as (id, component); ids without a link are left out.
+    """Components of (id, n, bands array<long>, odd array<long>) as (id, component); ids without a link are left out; rows of one id are alike.
 
     ``fetch`` turns ids into (id, members), one row each; ``test`` keeps pairs by both members.
     ``path``: where ``sketches`` lies, if it may be deleted once the bands are read. ``sized``: n is the size of the set, so that sizes alone can rule a pair out.
     """
     spark = sketches.sparkSession
-    rows = sketches.select("id", F.explode("bands").alias("band"))
-    shared = scratch(spark)
-    full = cut(rows.groupBy("band").agg(F.min("id").alias("r0"), F.max("id").alias("r1")).filter("r0 < r1").select("band"), path=shared)
+    rows = cut(_crowded(sketches))
     release(spark)
-    rows = cut(rows.join(full, "band", "left_semi"))
-    discard(spark, shared)
-    release(spark)
-    sketches = cut(sketches.select("id", "n", "odd"))
+    sketches = cut(sketches.select("id", "n", "odd").join(rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
     if path:
         discard(spark, path)
-    groups = rows.groupBy("band").agg(F.min("id").alias("r0"), _pick("id", 0).alias("r1"))
+    release(spark)
     side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"{c}n"), F.col("odd").alias(f"{c}odd"))
 
     def sifted(pairs: DataFrame) -> DataFrame:
         return cut(pairs.join(side("a"), "a").join(side("b"), "b").filter(_alike("a", "b", longs, limit, percent if sized else None)).select("a", "b"))
 
-    near = sifted(_pairs(rows.join(groups, "band"), "r0", "r1"))
+    near = sifted(_pairs(rows, "r0", "r1"))
+    rows = rows.select("band", "id")
     edges = _confirm(near, fetch, percent, test)
     known = components(edges)
     release(spark)

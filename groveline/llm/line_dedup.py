@@ -22,6 +22,8 @@ SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 16, 4
 #: Bins of a signature; the bands use the first, and one bit of each makes the sketch that sifts candidates.
 BINS = 128
+#: Ids a task remembers in order to send a frequent line once; past that it starts afresh, and later steps drop repeats.
+SEEN = 1 << 19
 _BLANK = " \t\n\v\f\r"
 _FULL = np.uint64(2**64 - 1)
 
@@ -51,9 +53,10 @@ def _shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for i in range(1, SHINGLE):
         low *= np.uint64(0xD6E8FEB86659FD93)
         low += points[i : len(points) - SHINGLE + 1 + i]
-    of = np.repeat(np.arange(len(lines)), sizes)[: len(low)]
-    inside = np.repeat(np.cumsum(sizes) - SHINGLE, sizes)[: len(low)] >= np.arange(len(low))
-    low, of = low[inside], of[inside]
+    inside = np.ones(len(low) + SHINGLE - 1, bool)
+    for i in range(1, SHINGLE):
+        inside[np.cumsum(sizes) - i] = False
+    low, of = low[inside[: len(low)]], np.repeat(np.arange(len(lines)), sizes - SHINGLE + 1)
     low ^= low >> np.uint64(32)
     low *= np.uint64(0xBF58476D1CE4E5B9)
     low ^= low >> np.uint64(29)
@@ -62,17 +65,15 @@ def _shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _signatures(low: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     bins = np.full(n * BINS, _FULL)
-    np.minimum.at(bins, of * BINS + (low % np.uint64(BINS)).astype(np.int64), low)
+    np.minimum.at(bins, of * BINS + (low & np.uint64(BINS - 1)).astype(np.int64), low)
     bins = bins.reshape(n, BINS)
     filled = (bins != _FULL).sum(1)
-    for _ in range(BINS):
-        empty = bins == _FULL
-        rows = np.flatnonzero(empty.any(1))
-        if not len(rows):
-            break
-        part = bins[rows]
-        moved = np.roll(part, -1, 1)
-        bins[rows] = np.where(empty[rows] & (moved != _FULL), moved + np.uint64(0x9E3779B97F4A7C15), part)
+    rows = np.flatnonzero(filled < BINS)
+    part, places = bins[rows], np.arange(2 * BINS)
+    after = np.where(np.tile(part != _FULL, 2), places, 2 * BINS)
+    after = np.minimum.accumulate(after[:, ::-1], axis=1)[:, ::-1][:, :BINS]
+    steps = (after - places[:BINS]).astype(np.uint64)
+    bins[rows] = np.take_along_axis(part, after % BINS, 1) + steps * np.uint64(0x9E3779B97F4A7C15)
     return W.mix(bins), filled
 
 
@@ -101,9 +102,14 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Id, filled bins, bands and sketch of each line, once a task while its ids are fewer than ``SEEN``."""
+    seen: set[int] = set()
     for batch in slices(batches, "text"):
-        every = list(dict.fromkeys(x for t in batch.column(0).to_pylist() for x in lines_of(t) if x.strip(_BLANK)))
-        for lines in _parts(every):
+        every = {line_id(x): x for t in batch.column(0).to_pylist() for x in dict.fromkeys(lines_of(t)) if x.strip(_BLANK)}
+        fresh = [x for i, x in every.items() if i not in seen]
+        seen = seen if len(seen) < SEEN else set()
+        seen.update(every)
+        for lines in _parts(fresh):
             low, of = _shingles(lines)
             bins, filled = _signatures(low, of, len(lines))
             bands = bins[:, 0 : BANDS * ROWS : ROWS].copy()
@@ -188,8 +194,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     firsts = cut(places.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
     sketches = known.select("text").mapInArrow(_sketches, "id long, n long, bands array<long>, odd array<long>")
     path = scratch(spark)
-    sketches = cut(sketches.dropDuplicates(["id"]), path=path)
-    release(spark)
+    sketches = cut(sketches, path=path)
 
     def fetch(ids: DataFrame) -> DataFrame:
         wanted = firsts.join(ids.withColumnRenamed("id", "line"), "line").groupBy(F.col("first").alias("doc_id")).agg(F.collect_set("line").alias("wanted"))

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -258,3 +259,33 @@ def test_pipeline(spark):
         assert tuple(out.columns) == corpus_pipeline.COLUMNS and 0 < out.count() <= docs.count(), name
         docs = out
     assert all(r.exact for r in corpus_pipeline.tokens(spark, docs, d).select("exact").collect())
+
+
+def test_bucket_runs_across_batches():
+    """Buckets cut by batches, repeated rows and buckets of one id: as a plain grouping gives them."""
+    from groveline.llm._links import _runs
+
+    rnd = random.Random(3)
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.int64()) for i in (0, 1)], names=["band", "id"])
+    for _ in range(200):
+        rows, at, batches = sorted((rnd.randint(-3, 9), rnd.randint(-9, 9)) for _ in range(rnd.randint(0, 40))), 0, []
+        while at < len(rows):
+            step = rnd.randint(1, 5)
+            batches.append(batch(rows[at : at + step]))
+            at += step
+        want = []
+        for band in sorted({b for b, _ in rows}):
+            ids = sorted({i for b, i in rows if b == band})
+            want += [(band, x, ids[0], ids[k - 1] if k else x) for k, x in enumerate(ids)] if len(ids) > 1 else []
+        assert [tuple(r.values()) for b in _runs(iter(batches)) for r in b.to_pylist()] == want
+
+
+def test_hot_buckets_are_split_without_loss(spark, monkeypatch):
+    """Buckets taken out as too large keep all their members, once each."""
+    from groveline.llm import _links
+
+    monkeypatch.setattr(_links, "SAMPLE", 1.0)
+    rows = [(i, [7, 100 + i // 2, 1000 + i]) for i in range(300)] * 2
+    out = _links._crowded(spark.createDataFrame(rows, "id long, bands array<long>")).collect()
+    assert sorted((r.band, r.id) for r in out) == [(7, i) for i in range(300)] + [(100 + i // 2, i) for i in range(300)]
+    assert all(r.r0 == 0 for r in out if r.band == 7)

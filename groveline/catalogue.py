@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from groveline import adapters as A
 from groveline.functions import curves
 from groveline.operators import inventory as inv
-from groveline.operators import matching, raster
+from groveline.operators import crowns, matching, raster
 from groveline.plans import rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -390,6 +390,16 @@ def treetop_candidates(spark, d):
     return r6(raster.treetop_candidates(A.cells(spark, d), A.rasters(spark, d)).drop("raster_id"))
 
 
+@query()
+def treetops(spark, d):
+    return r6(crowns.treetops(raster.treetop_candidates(A.cells(spark, d), A.rasters(spark, d))).drop("raster_id"))
+
+
+@query()
+def detected_crowns(spark, d):
+    return r6(crowns.detect_trees(A.cells(spark, d), A.rasters(spark, d)).drop("raster_id"))
+
+
 # Matching
 _PTS = f", a AS (SELECT plot_id, tree_id AS a_id, x AS ax, y AS ay FROM t0 WHERE status = 'dead' AND species = 'A'), b AS (SELECT plot_id, tree_id AS b_id, x AS bx, y AS b_y FROM t0 WHERE status = 'live' AND species = 'N')"
 

@@ -125,7 +125,8 @@ def link(sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, longs:
     ``path``: where ``sketches`` lies, if it may be deleted once the bands are read. ``sized``: n is the size of the set, so that sizes alone can rule a pair out.
     """
     spark = sketches.sparkSession
-    rows = cut(_crowded(sketches))
+    at = {k: scratch(spark) for k in ("rows", "tried", "open", "full")}
+    rows = cut(_crowded(sketches), path=at["rows"])
     release(spark)
     sketches = cut(sketches.select("id", "n", "odd").join(rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
     if path:
@@ -141,16 +142,21 @@ def link(sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, longs:
     edges = _confirm(near, fetch, percent, test)
     known = components(edges)
     release(spark)
-    near = sifted(_pairs(_open(rows, known, REPS).filter("c <> main"), *(f"r{i}" for i in range(REPS))))
+    near = sifted(_pairs(_open(rows, known, REPS, at["tried"]).filter("c <> main"), *(f"r{i}" for i in range(REPS))))
+    discard(spark, at["tried"])
     edges = edges.union(_confirm(near, fetch, percent, test))
     known = components(edges)
     release(spark)
-    full = cut(_open(rows, known, 0).join(sketches.select("id", "n", "odd"), "id"))
+    full = cut(_open(rows, known, 0, at["open"]).join(sketches.select("id", "n", "odd"), "id"), path=at["full"])
+    discard(spark, at["rows"])
+    discard(spark, at["open"])
+    release(spark)
     x = full.filter("c <> main").select("band", *(F.col(k).alias(f"x{k}") for k in ("id", "n", "odd", "c")))
     y = full.select("band", *(F.col(k).alias(f"y{k}") for k in ("id", "n", "odd", "c")), (F.col("c") == F.col("main")).alias("ymain"))
     fresh = (F.col("xc") != F.col("yc")) & (F.col("ymain") | (F.col("xid") < F.col("yid")))
     rest = x.join(y, (x["band"] == y["band"]) & fresh & _alike("x", "y", longs, limit, percent if sized else None)).select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b")).distinct()
     rest = cut(rest)
+    discard(spark, at["full"])
     release(spark)
     if rest.isEmpty():
         return known
@@ -167,11 +173,11 @@ def _pairs(rows: DataFrame, *reps: str) -> DataFrame:
     return tried.select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
 
 
-def _open(rows: DataFrame, known: DataFrame, reps: int) -> DataFrame:
-    """Members (band, id, c) of the buckets with several components, their largest component ``main``, and members of it."""
+def _open(rows: DataFrame, known: DataFrame, reps: int, path: str) -> DataFrame:
+    """Members (band, id, c) of the buckets with several components, their largest component ``main``, and members of it; written at ``path``."""
     rows = rows.join(known, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
     mixed = rows.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("band")
-    rows = cut(rows.join(mixed, "band", "left_semi"))
+    rows = cut(rows.join(mixed, "band", "left_semi"), path=path)
     release(rows.sparkSession)
     per = rows.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"), *(_pick("id", i + 1).alias(f"r{i}") for i in range(reps)))
     names = [f"r{i}" for i in range(reps)]

@@ -19,7 +19,7 @@ from groveline.llm._links import link
 from groveline.llm._shared import cut, read_table, release, scratch, slices
 
 SHINGLE, PERCENT = 5, 80
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 21, 5
 #: Bins of a signature; the bands use the first, and one bit of each makes the sketch that sifts candidates.
 BINS = 128
 #: Ids a task remembers in order to send a frequent line once; past that it starts afresh, and later steps drop repeats.

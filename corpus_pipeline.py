@@ -30,15 +30,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines whose like came before; a document left without a word goes."""
-    cleaned = line_dedup(docs).filter(F.col("n_lines") > F.col("n_removed")).select("doc_id", "kept_text")
-    return _retexted(docs.join(cleaned.dropDuplicates(["doc_id"]), "doc_id"), "kept_text")
+    """Texts without the lines whose like came before, row by row; a document left without a word goes."""
+    cleaned = line_dedup(docs, ("lang", "source")).filter(F.col("n_lines") > F.col("n_removed"))
+    return _retexted(cleaned, "kept_text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the least doc_id."""
-    kept = minhash_dedup(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each group of near copies: all rows of the least doc_id. Rows of a null doc_id stay."""
+    # The verdict is one for all rows of a doc_id, and a null one matches nothing.
+    gone = minhash_dedup(docs).filter("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -154,7 +154,7 @@ def exact_jaccard(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns doc_id, text, gone (lines kept elsewhere), once (lines kept here, the first time only)."""
+    """Columns doc_id, text, gone (lines kept elsewhere), once (lines kept here, the first time only), and any carried."""
     for batch in slices(batches, "text"):
         total, removed, kept = [], [], []
         for text, gone, once in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
@@ -176,11 +176,12 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total.append(n)
             removed.append(cut_)
             kept.append("\n".join(left) if text is not None else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_removed", "kept_text"])
+        own = [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
+        yield pa.RecordBatch.from_arrays([*own, *batch.columns[4:]], names=["doc_id", "n_lines", "n_removed", "kept_text", *batch.schema.names[4:]])
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept_text for each row: of similar lines the first stays.
+def line_dedup(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_text and the ``carried`` columns of ``docs`` for each row: of similar lines the first stays.
 
     Lines with a word are linked at Jaccard similarity of 0.8 or more of their distinct 5-character
     shingles; of a component the first line by doc_id, then place, stays and the others go, in the same
@@ -188,8 +189,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     a null doc_id are cleaned only within their row and are no source for others.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    known = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    docs = docs.select(F.col("doc_id").cast("long"), "text", *carried)
+    known = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     places = cut(known.mapInArrow(_places, "line long, doc_id long"))
     firsts = cut(places.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
     sketches = known.select("text").mapInArrow(_sketches, "id long, n long, bands array<long>, odd array<long>")
@@ -210,8 +211,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     hits = places.join(moved, "line")
     gone = hits.filter("doc_id > owner").groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
     once = hits.filter("doc_id = owner AND component IS NOT NULL").groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("line", "component"))).alias("once"))
-    out = docs.join(gone, "doc_id", "left").join(once, "doc_id", "left").select("doc_id", "text", "gone", "once")
-    return out.mapInArrow(_strip, "doc_id long, n_lines long, n_removed long, kept_text string")
+    out = docs.join(gone, "doc_id", "left").join(once, "doc_id", "left").select("doc_id", "text", "gone", "once", *carried)
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    return out.mapInArrow(_strip, f"doc_id long, n_lines long, n_removed long, kept_text string{more}")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

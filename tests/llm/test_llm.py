@@ -261,6 +261,16 @@ def test_pipeline(spark):
     assert all(r.exact for r in corpus_pipeline.tokens(spark, docs, d).select("exact").collect())
 
 
+@pytest.mark.parametrize("stage", ["line_dedup", "minhash_near_dedup"])
+def test_stages_keep_rows_of_null_and_repeated_ids(spark, stage):
+    """Each row keeps its own text, lang and source, whatever its id."""
+    text = lambda k: " ".join(f"{k}{chr(97 + i)}word" for i in range(12))
+    rows = [(None, text("p"), "en", "a"), (None, text("q"), "de", "b"), (1, text("r"), "fr", "c"), (1, text("s"), "es", "d"), (1, text("s"), "es", "e"), (2, text("t"), "en", "f")]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], SCHEMA)
+    out = dict(corpus_pipeline.STAGES)[stage](spark, docs.union(spark.createDataFrame([(3, text("t"), "en", "g", 1)], SCHEMA)), "")
+    assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(str((*r, len(r[1]))) for r in rows)
+
+
 def test_bucket_runs_across_batches():
     """Buckets cut by batches, repeated rows and buckets of one id: as a plain grouping gives them."""
     from groveline.llm._links import _runs

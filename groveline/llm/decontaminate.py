@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groveline.llm import _words as W
-from groveline.llm._shared import flat, read_table, slices
+from groveline.llm._shared import cut, flat, read_table, slices
 
 SEED = 4
 #: A document is contaminated by an item of which so many percent of the tokens are tiled.
@@ -157,18 +158,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, percent: int = COV
     """``key`` and ``items`` (array<struct<item_id, covered, size>>, by item_id) for each row of ``docs``.
 
     Null or empty text contains nothing. Items of fewer than four tokens, or null, are contained in
-    nothing. Repeated documents and items are each judged for themselves. Blocks of the benchmark are
-    bounded in bytes and go through all documents one after another; with several, rows that repeat a
-    key are merged.
+    nothing. Repeated documents and items are each judged for themselves, whatever their keys. Blocks
+    of the benchmark are bounded in bytes and go through all documents one after another; with several,
+    rows are numbered and stored first.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    parts = [docs.select(F.col(key).alias("row"), "text").mapInArrow(_matcher(Items(rows), percent), f"row {kind}, items array<struct<item_id: long, covered: long, size: long>>") for rows in _blocks(benchmark)]
-    out = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        out = out.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return out.withColumnRenamed("row", key)
+    kind, items = docs.schema[key].dataType.simpleString(), "array<struct<item_id: long, covered: long, size: long>>"
+    docs = docs.select(F.col(key).alias("row"), "text")
+    matchers = [_matcher(Items(rows), percent) for rows in _blocks(benchmark)]
+    if len(matchers) == 1:
+        return docs.mapInArrow(matchers[0], f"row {kind}, items {items}").withColumnRenamed("row", key)
+    rows = cut(docs.withColumn("id", F.monotonically_increasing_id()))
+    parts = [rows.select("id", "text").mapInArrow(m, f"row long, items {items}").filter(F.size("items") > 0).withColumn("block", F.lit(k)) for k, m in enumerate(matchers)]
+    found = reduce(DataFrame.unionByName, parts).groupBy(F.col("row").alias("id")).agg(F.array_sort(F.collect_list(F.struct("block", "items"))).alias("found"))
+    out = rows.select("id", "row").join(found, "id", "left")
+    return out.select(F.col("row").alias(key), F.coalesce(F.flatten("found.items"), F.array().cast(items)).alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = COVERED) -> DataFrame:

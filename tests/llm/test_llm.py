@@ -228,6 +228,19 @@ def test_decontamination(spark, monkeypatch):
     assert decontaminate.decontaminate(df, bench.limit(0)).count() == len(docs)
 
 
+def test_blocks_do_not_change_rows(spark, monkeypatch):
+    """Repeated and null ids, and repeated items, give the same rows in one block and in several."""
+    one, two = "one two three four five six", "alpha beta gamma delta epsilon"
+    bench = spark.createDataFrame([(1, one), (1, one), (2, two), (None, two)], "item_id long, text string")
+    docs = frame(spark, [(None, one), (None, two), (None, "clean"), (7, one), (7, two), (8, "clean"), (8, "clean"), (9, f"{two} {one}"), (9, None)])
+    found = lambda: sorted(str(tuple(r)) for r in decontaminate.find_contamination(docs, bench).collect())
+    left = lambda: sorted(str(tuple(r)) for r in decontaminate.decontaminate(docs, bench).collect())
+    whole, clean = found(), left()
+    assert len(whole) == 9 and len(clean) == 4
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 10)
+    assert found() == whole and left() == clean
+
+
 def test_block_labels(spark):
     model = html_extract.trained()
     xs, ys = html_extract.samples(200, 77)

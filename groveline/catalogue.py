@@ -406,8 +406,8 @@ _PTS = f", a AS (SELECT plot_id, tree_id AS a_id, x AS ax, y AS ay FROM t0 WHERE
 
 def _points(spark, d):
     t = A.trees(spark, d)
-    crowns = t.filter("status = 'dead' AND species = 'A'").select("plot_id", F.col("tree_id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    return crowns, t.filter("status = 'live' AND species = 'N'").select("plot_id", F.col("tree_id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    crowns = t.filter("status = 'dead' AND species = 'A'").select("plot_id", F.col("tree_id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("height_m").alias("a_height"))
+    return crowns, t.filter("status = 'live' AND species = 'N'").select("plot_id", F.col("tree_id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("height_m").alias("b_height"))
 
 
 @query(T + _PTS + "SELECT plot_id, a_id, b_id, round(sqrt((ax - bx) ** 2 + (ay - b_y) ** 2), 6) AS distance FROM a JOIN b USING (plot_id) WHERE sqrt((ax - bx) ** 2 + (ay - b_y) ** 2) <= 2.5")
@@ -418,3 +418,9 @@ def match_candidates(spark, d):
 @query()
 def match_pairs(spark, d):
     return r6(matching.match_pairs(matching.range_join(*_points(spark, d), 2.5)).select("plot_id", "a_id", "b_id", "distance"))
+
+
+@query()
+def match_summary(spark, d):
+    a, b = _points(spark, d)
+    return r6(matching.match_summary(matching.match_pairs(matching.range_join(a, b, 2.5)), a, b))

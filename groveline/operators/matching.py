@@ -93,10 +93,27 @@ def match_pairs(pairs: DataFrame, keys: tuple[str, ...] = ("plot_id",)) -> DataF
     return labelled.groupBy("component").applyInPandas(solve, labelled.schema).drop("component")
 
 
+def omissions(matched: DataFrame, stems: DataFrame, key: str = "plot_id") -> DataFrame:
+    """Stems (key, b_id, ...) in no pair; ids are unique in a plot."""
+    return stems.join(matched.select(key, "b_id"), [key, "b_id"], "left_anti")
+
+
+def commissions(matched: DataFrame, crowns: DataFrame, key: str = "plot_id") -> DataFrame:
+    """Crowns (key, a_id, ...) in no pair; ids are unique in a plot."""
+    return crowns.join(matched.select(key, "a_id"), [key, "a_id"], "left_anti")
+
+
 def match_summary(matched: DataFrame, crowns: DataFrame, stems: DataFrame, key: str = "plot_id") -> DataFrame:
-    """Recall, precision and F1 of each plot; null where undefined."""
+    """Counts, recall, precision, F1, height bias and RMSE (crown less stem) of each plot; null where undefined.
+
+    Heights are ``a_height`` and ``b_height`` of the pairs; pairs that lack one are left out of bias and
+    RMSE, and both are null where ``matched`` has no such columns.
+    """
     n = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
-    j = n(crowns, "detected").join(n(stems, "reference"), key, "full").join(matched.groupBy(key).agg(F.count(F.lit(1)).alias("matched"), F.avg("distance").alias("mean_offset_m")), key, "left").na.fill(0, ["detected", "reference", "matched"])
+    error = F.col("a_height") - F.col("b_height") if {"a_height", "b_height"} <= set(matched.columns) else F.lit(None).cast("double")
+    pairs = matched.groupBy(key).agg(F.count(F.lit(1)).alias("matched"), F.avg("distance").alias("mean_offset_m"), F.avg(error).alias("height_bias_m"), F.sqrt(F.avg(error * error)).alias("height_rmse_m"))
+    j = n(crowns, "detected").join(n(stems, "reference"), key, "full").join(pairs, key, "left").na.fill(0, ["detected", "reference", "matched"])
     recall, precision = F.try_divide("matched", "reference"), F.try_divide("matched", "detected")
     f1 = F.when(recall.isNotNull() & precision.isNotNull(), F.coalesce(F.try_divide(2 * recall * precision, recall + precision), F.lit(0.0)))
-    return j.select(key, "detected", "reference", "matched", recall.alias("recall"), precision.alias("precision"), f1.alias("f1"), "mean_offset_m")
+    missed, extra = F.col("reference") - F.col("matched"), F.col("detected") - F.col("matched")
+    return j.select(key, "detected", "reference", "matched", missed.alias("omissions"), extra.alias("commissions"), recall.alias("recall"), precision.alias("precision"), f1.alias("f1"), "mean_offset_m", "height_bias_m", "height_rmse_m")

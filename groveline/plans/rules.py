@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from groveline.functions.curves import default_params, height, leave_one_out
 from groveline.operators import inventory as inv
+from groveline.operators import raster
 from groveline.plans.profile import Profile
 
 INFO, NOTICE, WARNING, CRITICAL = range(4)
@@ -33,6 +34,9 @@ class Context:
     extent: DataFrame | None = None  # plot_id?, xmin, ymin, xmax, ymax: one row
     profile: Profile = field(default_factory=Profile)
     metrics: DataFrame | None = None  # from trees unless given
+    cells: DataFrame | None = None  # canopy heights; raster_id is the plot's plot_id
+    rasters: DataFrame | None = None  # headers of cells
+    match: DataFrame | None = None  # of matching.match_summary
 
     def __post_init__(self) -> None:
         if self.metrics is None and self.trees is not None:
@@ -73,6 +77,42 @@ def density_index(ctx):
     return _limits(ctx, "sdi", ("SV003", NOTICE, "Low stand density index", p.min_sdi), ("SV004", WARNING, "High stand density index", p.max_sdi)) if ctx.metrics is not None else []
 
 
+def _by_plot(ctx: Context, df: DataFrame) -> DataFrame:
+    return df.withColumn("plot_id", F.col("raster_id").cast(ctx.plots.schema["plot_id"].dataType))
+
+
+def _canopy(ctx: Context) -> DataFrame:
+    """Cover and gap fraction of each raster with an observed cell."""
+    return _by_plot(ctx, raster.canopy(raster.valid(ctx.cells), ctx.profile.canopy_threshold))
+
+
+@rule
+def canopy_cover(ctx):
+    if ctx.cells is None:
+        return []
+    low, v = ctx.profile.min_canopy_cover, F.col("cover")
+    return [finding(_canopy(ctx).filter(v < low), "SV010", WARNING, "Canopy cover below target", value=v, threshold=low)]
+
+
+@rule
+def large_gaps(ctx):
+    """Gaps as mapped: the opening by ``min_gap_report_width`` is not built."""
+    if ctx.cells is None or ctx.rasters is None:
+        return []
+    p, v = ctx.profile, F.col("area")
+    found = raster.gaps(ctx.cells, ctx.rasters, p.canopy_threshold, min(p.min_gap_report_area, p.max_gap_area))
+    level = F.when(F.col("touches_edge"), WARNING).otherwise(CRITICAL)
+    return [finding(_by_plot(ctx, found).filter(v > p.max_gap_area), "SV011", level, "Large canopy gap", F.concat(F.lit("gap:"), F.col("gap_id")), v, p.max_gap_area)]
+
+
+@rule
+def gap_fraction(ctx):
+    if ctx.cells is None:
+        return []
+    high, v = ctx.profile.max_gap_fraction, F.col("gap_fraction")
+    return [finding(_canopy(ctx).filter(v > high), "SV012", NOTICE, "High open-canopy fraction", value=v, threshold=high)]
+
+
 @rule
 def structural_diversity(ctx):
     return _limits(ctx, "gini_basal_area", ("SV020", NOTICE, "Uniform stem sizes", ctx.profile.min_gini), None) if ctx.trees is not None else []
@@ -157,6 +197,17 @@ def coordinates_in_extent(ctx):
     return [finding(out, "SV043", WARNING, "Coordinate outside raster extent", _tree())]
 
 
+@rule
+def detection_agreement(ctx):
+    """An undefined recall, precision or bias is silent."""
+    if ctx.match is None:
+        return []
+    p, subject, bias = ctx.profile, F.lit("detection"), F.abs("height_bias_m")
+    below = lambda name, code, title, low: finding(ctx.match.filter(F.col(name) < low), code, WARNING, title, subject, F.col(name), low)
+    return [below("recall", "SV050", "Low detection recall", p.min_detection_recall), below("precision", "SV051", "Low detection precision", p.min_detection_precision),
+            finding(ctx.match.filter(bias > p.max_height_bias_m), "SV052", WARNING, "Systematic height bias", subject, bias, p.max_height_bias_m)]
+
+
 def inspect(ctx: Context, rules=None) -> DataFrame:
     """All findings; order them by severity (down), code and subject to print."""
     parts = [df for r in (rules or RULES) for df in r(ctx)]

@@ -94,3 +94,29 @@ def test_pairing_is_the_best_of_all():
             if best:
                 break
         assert sorted(got.distance) == best
+
+
+def test_canopy_and_detection_findings(spark):
+    """A 4 x 4 raster with an inner gap of one cell and an edge gap of four; plot 2 has no observed cell and no stems."""
+    plots = spark.createDataFrame([(1, 1.0), (2, 1.0)], "plot_id long, area_ha double")
+    low = {(1, 1), (3, 0), (3, 1), (3, 2), (3, 3)}
+    cells = spark.createDataFrame([(k, r, c, (1.0 if (r, c) in low else 9.0) if k == 1 else None) for k in (1, 2) for r in range(4) for c in range(4)], "raster_id long, row int, col int, v double")
+    rasters = spark.createDataFrame([(k, 4, 4, 0.0, 0.0, 10.0) for k in (1, 2)], "raster_id long, ncols int, nrows int, xll double, yll double, cellsize double")
+    crowns = spark.createDataFrame([(1, "c1", 0.0, 0.0, 20.0), (1, "c2", 50.0, 0.0, 10.0), (1, "c3", 90.0, 0.0, 10.0), (2, "c4", 0.0, 0.0, 9.0)], "plot_id long, a_id string, ax double, ay double, a_height double")
+    stems = spark.createDataFrame([(1, "s1", 1.0, 0.0, 17.0), (1, "s2", 50.0, 1.0, 9.0), (1, "s3", 200.0, 0.0, None)], "plot_id long, b_id string, bx double, by double, b_height double")
+    matched = matching.match_pairs(matching.range_join(crowns, stems, 2.5))
+    assert [r.b_id for r in matching.omissions(matched, stems).collect()] == ["s3"]
+    assert sorted(r.a_id for r in matching.commissions(matched, crowns).collect()) == ["c3", "c4"]
+    match = matching.match_summary(matched, crowns, stems)
+    one, two = match.orderBy("plot_id").collect()
+    assert (one.matched, one.omissions, one.commissions, one.height_bias_m, one.height_rmse_m) == (2, 1, 1, 2.0, math.sqrt(5))
+    assert (two.matched, two.commissions, two.recall, two.precision, two.height_bias_m) == (0, 1, None, 0.0, None)
+    ctx = rules.Context(None, plots, cells=cells, rasters=rasters, match=match, profile=Profile(min_canopy_cover=0.7, max_gap_fraction=0.3, max_gap_area=90.0))
+    got = sorted((r.plot_id, r.code, r.severity, r.subject, round(r.value, 6)) for r in rules.inspect(ctx).collect())
+    assert got == [(1, "SV010", 2, "stand", 0.6875), (1, "SV011", 2, "gap:1", 400.0), (1, "SV011", 3, "gap:2", 100.0), (1, "SV012", 1, "stand", 0.3125),
+                   (1, "SV050", 2, "detection", 0.666667), (1, "SV051", 2, "detection", 0.666667), (1, "SV052", 2, "detection", 2.0), (2, "SV051", 2, "detection", 0.0)]
+
+
+def test_match_summary_query(spark):
+    rows = catalogue.QUERIES["match_summary"](spark, DATA).collect()
+    assert rows and all(r.matched + r.omissions == r.reference and r.matched + r.commissions == r.detected for r in rows)

@@ -1,33 +1,138 @@
 """From banded sketches to connected components, without all pairs of a group.
 
-1. In every band each member is tried against two members of its bucket: the least, and the one before
-   it in order of ids. Buckets are read off rows sorted by band, so band rows are shuffled once; buckets
-   that a sample shows to hold a great share of all rows are taken out first and never shuffled as one.
-2. Links found so far give components. Members outside their bucket's largest component are tried
-   against some random members of it, which leaves few of them in groups of many similar texts.
-3. Within a bucket, pairs of different components are what is left to try. Members outside the
-   bucket's largest component are joined with all its members; the join itself compares set sizes
-   and sketches, so a dissimilar pair is no row. After that every bucket pair is linked, in one
-   component, or tried: nothing is capped. Candidates are always confirmed on the full sets.
+1. Sketching tasks send their band values as packed blocks of (band, id); a task sorts its share in
+   numpy and keeps the bands that several ids share. A band that is crowded within one sketching task
+   is sent once by it: its other ids are bound to that one there and then, so no task ever gathers a
+   great group.
+2. Every member is tried against one other: the least id of all its buckets. Links make components.
+3. Buckets of several components are open. While trying all that is left there would cost much more
+   than the rows it has, members outside their bucket's largest component are tried against some
+   random members of it.
+4. What is left in open buckets, members outside the largest component against all of another one, is
+   joined; set sizes and sketches are part of the join condition, so a dissimilar pair is no row.
+   After that every pair of a bucket is linked, in one component, or tried: nothing is capped.
+
+Links are always confirmed on the full sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groveline.llm._shared import cut, discard, release, scratch
 
 #: Most differing sketch bits, or a function of the smaller n of the two that gives them.
 Limit = int | Callable[[Column], Column]
-#: Random members of the largest component that each member outside it is tried against, in each band.
-REPS = 2
-#: Buckets of more than 1 in HOT band rows, as told by a sample, are split over tasks; so there are about HOT at most.
-HOT, SAMPLE = 2000, 0.01
+#: Band values that a sketching task holds before it sends them; a band is crowded if it is met more than CROWDED times in 1 of EVERY of them.
+HELD, EVERY, CROWDED = 1 << 20, 11, 8
+#: Rounds of random tries at most; tries of a member in each; joined pairs a row above which a round is worth while.
+ROUNDS, TRIES, WORTH = 4, 6, 4
+PACKED = "part int, bound boolean, block binary"
+
+
+def parts(spark: SparkSession) -> int:
+    """Blocks that the bands are dealt out to: some for each shuffle partition, so that a task holds one at a time."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class Packer:
+    """Gathers (bands, ids) of a sketching task and gives packed blocks."""
+
+    def __init__(self, n: int):
+        self.n, self.bands, self.ids, self.held = n, [], [], 0
+
+    def add(self, bands: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """``bands``: a row of values for each of ``ids``."""
+        if len(ids):
+            self.bands.append(bands.reshape(-1))
+            self.ids.append(np.repeat(ids, bands.shape[1]))
+            self.held += bands.size
+        if self.held >= HELD:
+            yield self.flush()
+
+    def flush(self) -> pa.RecordBatch:
+        rows: tuple[list, list, list] = ([], [], [])
+        if self.held:
+            band, own = np.concatenate(self.bands), np.concatenate(self.ids)
+            self.bands, self.ids, self.held = [], [], 0
+            values, often = np.unique(band[::EVERY], return_counts=True)
+            hot = values[often > CROWDED]
+            if len(hot):
+                at = np.flatnonzero(np.isin(band, hot))
+                at = at[np.lexsort((own[at], band[at]))]
+                first = np.ones(len(at), bool)
+                first[1:] = band[at[1:]] != band[at[:-1]]
+                least = own[at][np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
+                bound = np.stack([band[at].view(np.int64), own[at], least])[:, ~first]
+                rows[0].append(int(bound[1].sum() % self.n))
+                rows[1].append(True)
+                rows[2].append(bound.tobytes())
+                alone = np.ones(len(band), bool)
+                alone[at[~first]] = False
+                band, own = band[alone], own[alone]
+            part = (band >> np.uint64(40)) % np.uint64(self.n)
+            order = np.argsort(part.astype(np.uint16) if self.n < 65536 else part, kind="stable")
+            band, own, edges = band[order], own[order], np.searchsorted(part[order], np.arange(self.n + 1))
+            for k in np.flatnonzero(np.diff(edges)).tolist():
+                a, b = edges[k], edges[k + 1]
+                rows[0].append(k)
+                rows[1].append(False)
+                rows[2].append(band[a:b].tobytes() + own[a:b].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.bool_()), pa.array(rows[2], pa.binary())], names=["part", "bound", "block"])
+
+
+def _shared(blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band, id and the band's least id, for bands with several ids."""
+    pairs = [b.reshape(2, -1) for b in blocks]
+    band, own = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
+    order = np.argsort(band)
+    same = band[order[1:]] == band[order[:-1]]
+    several = np.zeros(len(band), bool)
+    several[1:] = same
+    several[:-1] |= same
+    at = order[several]
+    band, own = band[at], own[at]
+    order = np.lexsort((own, band))
+    band, own = band[order], own[order]
+    new = np.ones(len(band), bool)
+    new[1:] = (band[1:] != band[:-1]) | (own[1:] != own[:-1])
+    band, own = band[new], own[new]
+    first = np.ones(len(band), bool)
+    first[1:] = band[1:] != band[:-1]
+    least = own[np.maximum.accumulate(np.where(first, np.arange(len(band)), 0))]
+    several = ~first
+    several[:-1] |= ~first[1:]
+    return band[several], own[several], least[several]
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of blocks sorted by part: rows of the bands that several ids share. One part is held at a time."""
+    names, held, last = ["band", "id", "least"], [], None
+    rows = lambda x: pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in x], names=names)
+    for batch in batches:
+        for part, bound, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            values = np.frombuffer(block, np.int64)
+            if bound:
+                yield rows(values.reshape(3, -1))
+                # The one that was sent may meet nobody else, so it is told here as well.
+                band, _, least = values.reshape(3, -1)
+                new = np.ones(len(band), bool)
+                new[1:] = band[1:] != band[:-1]
+                yield rows((band[new], least[new], least[new]))
+                continue
+            if part != last and held:
+                yield rows(_shared(held))
+                held = []
+            last = part
+            held.append(values)
+    if held:
+        yield rows(_shared(held))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -35,7 +140,7 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     seal = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = seal(pairs)
-    while True:
+    while before[0]:
         both = pairs.union(pairs.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -44,8 +149,9 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = cut(joined.select("u", F.col("m").alias("v")).union(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
         after = seal(pairs)
         if after == before:
-            return pairs.union(pairs.select("v", "v").distinct()).toDF("id", "component")
+            break
         before = after
+    return pairs.union(pairs.select("v", "v").distinct()).toDF("id", "component")
 
 
 def _alike(a: str, b: str, longs: int, limit: Limit, percent: int | None) -> Column:
@@ -55,131 +161,85 @@ def _alike(a: str, b: str, longs: int, limit: Limit, percent: int | None) -> Col
     return near & (low * 100 >= high * percent) if percent else near
 
 
-def shared_members(pairs: DataFrame, percent: int) -> DataFrame:
-    """Those of (a, b, ma array<long>, mb) with 100 * |A & B| >= percent * |A | B|."""
-    both = F.size(F.array_intersect("ma", "mb"))
-    sized = pairs.select("a", "b", both.alias("both"), (F.size("ma") + F.size("mb") - both).alias("any"))
-    return sized.filter(F.col("both") * 100 >= F.col("any") * percent).select("a", "b")
+def _test(prepare: Callable[[Any], Any], similar: Callable[[Any, Any], bool]):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ready = None, None
+        for batch in batches:
+            good = []
+            for b, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if b != last:  # rows come sorted by b, which many may share
+                    last, ready = b, prepare(y.as_py())
+                good.append(similar(prepare(x.as_py()), ready))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    return keep
 
-def _confirm(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, test: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
-    """Those of (a, b) that pass ``test`` on what ``fetch`` gives for both."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    spark, path = pairs.sparkSession, scratch(pairs.sparkSession)
-    sets = cut(fetch(ids), path=path)
-    release(spark)
-    left, right = sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), sets.select(F.col("id").alias("b"), F.col("members").alias("mb"))
-    out = cut(test(pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb"), percent))
-    discard(spark, path)
-    release(spark)
-    return out
 
+def link(packed: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, longs: int, limit: Limit, percent: int, prepare: Callable[[Any], Any], similar: Callable[[Any, Any], bool], sized: bool = True) -> DataFrame:
+    """Components of the sketches in ``packed`` (of ``Packer``) as (id, component); ids without a link are left out.
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (band, id) sorted so, those of bands with several ids: band, id, least id, id before (or itself)."""
-    last: tuple[int, int, int, bool] | None = None  # band, id, least id of the band, still alone
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        band, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        if last:
-            band, own = np.concatenate([[last[0]], band]), np.concatenate([[last[1]], own])
-        new = np.ones(len(band), bool)
-        new[1:] = (band[1:] != band[:-1]) | (own[1:] != own[:-1])
-        band, own = band[new], own[new]
-        start = np.ones(len(band), bool)
-        start[1:] = band[1:] != band[:-1]
-        least = own[np.maximum.accumulate(np.where(start, np.arange(len(band)), 0))]
-        if last:
-            least[: int(np.argmax(start[1:])) + 1 if start[1:].any() else len(band)] = last[2]
-        before = np.where(start, own, np.concatenate([own[:1], own[:-1]]))
-        several = ~start
-        several[:-1] |= ~start[1:]
-        if last and not last[3]:
-            several[0] = False  # given with the batch before
-        alone = bool(start[-1]) and (len(band) > 1 or not last or last[3])
-        last = (int(band[-1]), int(own[-1]), int(least[-1]), alone)
-        yield pa.RecordBatch.from_arrays([pa.array(x[several], pa.int64()) for x in (band, own, least, before)], names=["band", "id", "r0", "r1"])
-
-
-def _crowded(sketches: DataFrame) -> DataFrame:
-    """Members (band, id, r0, r1) of the buckets of several ids, r0 and r1 two members to try; ids may repeat in ``sketches``."""
-    bands = lambda df: df.select(F.explode("bands").alias("band"), "id")
-    rows, schema = bands(sketches), "band long, id long, r0 long, r1 long"
-    drawn = cut(bands(sketches.sample(SAMPLE, 1)).groupBy("band").agg(F.count(F.lit(1)).alias("k")))
-    least = max(100, (drawn.agg(F.sum("k")).first()[0] or 0) // HOT)
-    hot = cut(drawn.filter(F.col("k") >= least).select("band"))
-    runs = lambda df: df.repartition("band").sortWithinPartitions("band", "id").mapInArrow(_runs, schema)
-    if hot.isEmpty():
-        return runs(rows)
-    split = rows.join(F.broadcast(hot), "band")
-    reps = cut(split.groupBy("band").agg(F.min("id").alias("r0"), _pick("id", 0).alias("r1")))
-    members = split.dropDuplicates(["band", "id"]).join(F.broadcast(reps), "band").select("band", "id", "r0", "r1")
-    return runs(rows.join(F.broadcast(hot), "band", "left_anti").select("band", "id")).union(members)
-
-
-def link(sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, longs: int, limit: Limit, percent: int, sized: bool = True, path: str | None = None, test: Callable[[DataFrame, int], DataFrame] = shared_members) -> DataFrame:
-    """Components of (id, n, bands array<long>, odd array<long>) as (id, component); ids without a link are left out; rows of one id are alike.
-
-    ``fetch`` turns ids into (id, members), one row each; ``test`` keeps pairs by both members.
-    ``path``: where ``sketches`` lies, if it may be deleted once the bands are read. ``sized``: n is the size of the set, so that sizes alone can rule a pair out.
+    ``fetch`` turns ids into (id, n, odd array<long>, body), one row each. ``prepare`` turns a body into
+    what ``similar`` compares. ``sized``: n is the size of the set, so that sizes alone can rule a pair out.
     """
-    spark = sketches.sparkSession
-    at = {k: scratch(spark) for k in ("rows", "tried", "open", "full")}
-    rows = cut(_crowded(sketches), path=at["rows"])
+    spark = packed.sparkSession
+    at = {k: scratch(spark) for k in ("rows", "bodies")}
+    blocks = packed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part")
+    rows = cut(blocks.mapInArrow(_buckets, "band long, id long, least long"), path=at["rows"])
     release(spark)
-    sketches = cut(sketches.select("id", "n", "odd").join(rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
-    if path:
-        discard(spark, path)
+    bodies = cut(fetch(rows.select("id").distinct()), path=at["bodies"])
     release(spark)
-    side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"{c}n"), F.col("odd").alias(f"{c}odd"))
+    sketches = bodies.select("id", "n", "odd")
+    side = lambda df, c: df.select(F.col("id").alias(c), *(F.col(k).alias(f"{c}{k}") for k in df.columns[1:]))
+    near = _alike("a", "b", longs, limit, percent if sized else None)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Those of (a, b), b perhaps in many, that are similar."""
+        y = side(bodies, "y")
+        whole = pairs.join(side(bodies, "a"), "a").join(y, (pairs["b"] == y["y"]) & _alike("a", "y", longs, limit, percent if sized else None))
+        out = cut(whole.select("a", "b", "abody", "ybody").mapInArrow(_test(prepare, similar), "a long, b long"))
+        release(spark)
+        return out
 
     def sifted(pairs: DataFrame) -> DataFrame:
-        return cut(pairs.join(side("a"), "a").join(side("b"), "b").filter(_alike("a", "b", longs, limit, percent if sized else None)).select("a", "b"))
-
-    near = sifted(_pairs(rows, "r0", "r1"))
-    rows = rows.select("band", "id")
-    edges = _confirm(near, fetch, percent, test)
-    known = components(edges)
-    release(spark)
-    near = sifted(_pairs(_open(rows, known, REPS, at["tried"]).filter("c <> main"), *(f"r{i}" for i in range(REPS))))
-    discard(spark, at["tried"])
-    edges = edges.union(_confirm(near, fetch, percent, test))
-    known = components(edges)
-    release(spark)
-    full = cut(_open(rows, known, 0, at["open"]).join(sketches.select("id", "n", "odd"), "id"), path=at["full"])
-    discard(spark, at["rows"])
-    discard(spark, at["open"])
-    release(spark)
+        return cut(pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").filter(near).select("a", "b"))
+
+    known = components(confirmed(rows.groupBy("id").agg(F.min("least").alias("b")).filter("b < id").select(F.col("id").alias("a"), "b")))
+    merged = lambda edges: components(edges.union(known.select("id", "component")))
+    for turn in range(ROUNDS + 1):
+        path = scratch(spark)
+        open_, cost, size = _open(rows, known, turn, path)
+        if turn == ROUNDS or cost <= WORTH * size:
+            break
+        tries = open_.filter("c <> main").groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("rep", F.lit(turn)).alias("k"), "rep"))), 1, TRIES).alias("reps"))
+        tries = tries.select(F.col("id").alias("a"), F.explode("reps").alias("r")).select("a", F.col("r.rep").alias("b"))
+        known = merged(confirmed(sifted(tries)))
+        discard(spark, path)
+        release(spark)
+    if not size:
+        discard(spark, at["rows"])
+        return known
+    full = open_.join(sketches, "id")
     x = full.filter("c <> main").select("band", *(F.col(k).alias(f"x{k}") for k in ("id", "n", "odd", "c")))
     y = full.select("band", *(F.col(k).alias(f"y{k}") for k in ("id", "n", "odd", "c")), (F.col("c") == F.col("main")).alias("ymain"))
     fresh = (F.col("xc") != F.col("yc")) & (F.col("ymain") | (F.col("xid") < F.col("yid")))
-    rest = x.join(y, (x["band"] == y["band"]) & fresh & _alike("x", "y", longs, limit, percent if sized else None)).select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b")).distinct()
-    rest = cut(rest)
-    discard(spark, at["full"])
+    rest = x.join(y, (x["band"] == y["band"]) & fresh & _alike("x", "y", longs, limit, percent if sized else None))
+    rest = cut(rest.select(F.col("xid").alias("a"), F.col("yid").alias("b")).distinct())
     release(spark)
-    if rest.isEmpty():
-        return known
-    return components(edges.union(_confirm(rest, fetch, percent, test)))
-
-
-def _pick(id_: str, salt: int) -> Column:
-    """A member of the group at random, by a hash that differs from band to band."""
-    return F.min(F.struct(F.xxhash64(id_, "band", F.lit(salt)), id_))[id_]
-
-
-def _pairs(rows: DataFrame, *reps: str) -> DataFrame:
-    tried = rows.select("id", F.explode(F.array(*reps)).alias("rep")).filter("id <> rep")
-    return tried.select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
+    out = known if rest.isEmpty() else merged(confirmed(rest))
+    for gone in (path, at["rows"], at["bodies"]):
+        discard(spark, gone)
+    return out
 
 
-def _open(rows: DataFrame, known: DataFrame, reps: int, path: str) -> DataFrame:
-    """Members (band, id, c) of the buckets with several components, their largest component ``main``, and members of it; written at ``path``."""
-    rows = rows.join(known, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-    mixed = rows.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("band")
-    rows = cut(rows.join(mixed, "band", "left_semi"), path=path)
-    release(rows.sparkSession)
-    per = rows.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"), *(_pick("id", i + 1).alias(f"r{i}") for i in range(reps)))
-    names = [f"r{i}" for i in range(reps)]
-    open_ = per.groupBy("band").agg(F.max(F.struct("k", "c", *names)).alias("best"))
-    return rows.join(open_.select("band", F.col("best.c").alias("main"), *(F.col(f"best.{n}").alias(n) for n in names)), "band")
+def _open(rows: DataFrame, known: DataFrame, turn: int, path: str) -> tuple[DataFrame, int, int]:
+    """Members (band, id, c) of the buckets with several components, their largest component ``main`` and a random member ``rep`` of it,
+    written at ``path``; the pairs that joining them all could make; how many members."""
+    own = rows.select("band", "id").join(known, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
+    mixed = own.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("band")
+    own = own.join(mixed, "band", "left_semi")
+    pick = F.min(F.struct(F.xxhash64("id", "band", F.lit(turn)).alias("h"), "id"))["id"]
+    per = own.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"), pick.alias("rep"))
+    best = per.groupBy("band").agg(F.max(F.struct("k", "c", "rep")).alias("best"), F.sum("k").alias("all"))
+    out = cut(own.join(best.select("band", F.col("best.c").alias("main"), F.col("best.rep").alias("rep"), "all"), "band"), path=path)
+    size, cost = out.agg(F.count(F.lit(1)), F.sum(F.when(F.col("c") != F.col("main"), F.col("all").cast("double")).otherwise(0.0))).first()
+    return out, int(cost or 0), size

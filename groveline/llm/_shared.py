@@ -49,6 +49,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def repeats(df: DataFrame, key: str) -> bool:
+    """Whether two rows share a value of ``key``."""
+    return not df.groupBy(key).count().filter("count > 1").isEmpty()
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all values one after another, and the offsets of each; a null is empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

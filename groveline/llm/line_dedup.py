@@ -1,13 +1,14 @@
 """Fuzzy line deduplication: MinHash of character shingles, bands, exact Jaccard, one line per component.
 
 A line's signature is a one-permutation MinHash (every shingle falls into one of the bins, empty bins
-borrow from the next), so each character is hashed once however long the signature is.
+borrow from bins drawn at random for them), so each character is hashed once however long the signature is.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +16,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groveline.llm import _words as W
-from groveline.llm._links import link
-from groveline.llm._shared import cut, read_table, release, scratch, slices
+from groveline.llm._links import PACKED, Packer, link, parts
+from groveline.llm._shared import cut, read_table, release, repeats, slices
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 21, 5
 #: Bins of a signature; the bands use the first, and one bit of each makes the sketch that sifts candidates.
 BINS = 128
+#: Bins that an empty one tries to borrow from.
+BORROW = 64
 #: Ids a task remembers in order to send a frequent line once; past that it starts afresh, and later steps drop repeats.
 SEEN = 1 << 19
 _BLANK = " \t\n\v\f\r"
@@ -63,18 +66,36 @@ def _shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return low, of
 
 
-def _signatures(low: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(1)
+def _lenders() -> np.ndarray:
+    """For each attempt and bin, another bin to borrow from, at random but fixed."""
+    return (W.mix(np.arange(BORROW * BINS, dtype=np.uint64), 5) % np.uint64(BINS)).astype(np.int64).reshape(BORROW, BINS)
+
+
+def _signatures(low: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """The least hash in each bin of each line. An empty bin borrows from bins drawn for it, so that the rows of a band stay independent."""
     bins = np.full(n * BINS, _FULL)
     np.minimum.at(bins, of * BINS + (low & np.uint64(BINS - 1)).astype(np.int64), low)
-    bins = bins.reshape(n, BINS)
-    filled = (bins != _FULL).sum(1)
-    rows = np.flatnonzero(filled < BINS)
-    part, places = bins[rows], np.arange(2 * BINS)
-    after = np.where(np.tile(part != _FULL, 2), places, 2 * BINS)
-    after = np.minimum.accumulate(after[:, ::-1], axis=1)[:, ::-1][:, :BINS]
-    steps = (after - places[:BINS]).astype(np.uint64)
-    bins[rows] = np.take_along_axis(part, after % BINS, 1) + steps * np.uint64(0x9E3779B97F4A7C15)
-    return W.mix(bins), filled
+    own = bins.copy()
+    empty = np.flatnonzero(bins == _FULL)
+    base, column = empty - empty % BINS, empty % BINS
+    for lender in _lenders():
+        if not len(empty):
+            break
+        value = own[base + lender[column]]
+        bins[empty] = value
+        rest = value == _FULL
+        empty, base, column = empty[rest], base[rest], column[rest]
+    if len(empty):  # none of its lenders had any: the line's least
+        bins[empty] = own.reshape(n, BINS).min(1)[empty // BINS]
+    return W.mix(bins.reshape(n, BINS) ^ W.mix(np.arange(BINS, dtype=np.uint64), 3))
+
+
+def _bands(bins: np.ndarray) -> np.ndarray:
+    bands = bins[:, 0 : BANDS * ROWS : ROWS].copy()
+    for r in range(1, ROWS):
+        bands = W.mix(bands ^ bins[:, r : BANDS * ROWS : ROWS], 7)
+    return W.mix(bands ^ np.arange(BANDS, dtype=np.uint64), 11)
 
 
 def _parts(lines: list[str], most: int = 1 << 18) -> Iterator[list[str]]:
@@ -101,83 +122,79 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["line", "doc_id"])
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Id, filled bins, bands and sketch of each line, once a task while its ids are fewer than ``SEEN``."""
-    seen: set[int] = set()
-    for batch in slices(batches, "text"):
-        every = {line_id(x): x for t in batch.column(0).to_pylist() for x in dict.fromkeys(lines_of(t)) if x.strip(_BLANK)}
-        fresh = [x for i, x in every.items() if i not in seen]
-        seen = seen if len(seen) < SEEN else set()
-        seen.update(every)
-        for lines in _parts(fresh):
-            low, of = _shingles(lines)
-            bins, filled = _signatures(low, of, len(lines))
-            bands = bins[:, 0 : BANDS * ROWS : ROWS].copy()
-            for r in range(1, ROWS):
-                bands = W.mix(bands ^ bins[:, r : BANDS * ROWS : ROWS], 7)
-            bands = W.mix(bands ^ np.arange(BANDS, dtype=np.uint64), 11)
-            odd = np.packbits((bins & np.uint64(1)).astype(np.uint8), axis=1).view(np.uint64)
-            lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).reshape(-1)), x.shape[1]).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([line_id(x) for x in lines], pa.int64()), pa.array(filled, pa.int64()), lists(bands), lists(odd)], names=["id", "n", "bands", "odd"])
-
-
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The wanted lines themselves, a fraction of the size of their shingle sets; columns text, wanted (ids)."""
+def _packed(n: int):
+    """Packed bands of the lines, each line once a task while its ids are fewer than ``SEEN``."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        packer = Packer(n)
+        for batch in slices(batches, "text"):
+            every = {line_id(x): x for t in batch.column(0).to_pylist() for x in dict.fromkeys(lines_of(t)) if x.strip(_BLANK)}
+            fresh = [x for i, x in every.items() if i not in seen]
+            seen = seen if len(seen) < SEEN else set()
+            seen.update(every)
+            for lines in _parts(fresh):
+                low, of = _shingles(lines)
+                yield from packer.add(_bands(_signatures(low, of, len(lines))), np.array([line_id(x) for x in lines], np.int64))
+        yield packer.flush()
+
+    return pack
+
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, n (shingles, repeats too, at most the bins), sketch and the line itself of the wanted lines; columns text, wanted (ids)."""
     for batch in slices(batches, "text"):
-        ids, lines = [], []
+        found: dict[int, str] = {}
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             wanted = set(wanted)
             for line in dict.fromkeys(lines_of(text)):
                 if line.strip(_BLANK) and (own := line_id(line)) in wanted:
-                    ids.append(own)
-                    lines.append(line)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], names=["id", "members"])
+                    found[own] = line
+        for lines in _parts(list(found.values())):
+            low, of = _shingles(lines)
+            odd = np.packbits((_signatures(low, of, len(lines)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+            n = np.minimum(np.bincount(of, minlength=len(lines)), BINS)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(odd.reshape(-1)), odd.shape[1]).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([line_id(x) for x in lines], pa.int64()), pa.array(n, pa.int64()), lists, pa.array(lines, pa.string())], names=["id", "n", "odd", "body"])
 
 
 def _set(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
-def exact_jaccard(pairs: DataFrame, percent: int) -> DataFrame:
-    """Those of (a, b, ma, mb) whose lines have that similarity, counted on the shingles themselves."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = _set(x), _set(y)
-                both = len(a & b)
-                good.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return pairs.mapInArrow(keep, "a long, b long")
+def similar(a: set[str], b: set[str]) -> bool:
+    """Whether the Jaccard similarity is high enough, counted on the shingles themselves."""
+    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+        return False
+    both = len(a & b)
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns doc_id, text, gone (lines kept elsewhere), once (lines kept here, the first time only), and any carried."""
+    """Columns doc_id, text, found (line, its component if it goes by that here, else null: it is kept elsewhere), and any carried."""
     for batch in slices(batches, "text"):
         total, removed, kept = [], [], []
-        for text, gone, once in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-            gone, once, seen, left = set(gone or ()), dict(once or ()), set(), []
-            lines = lines_of(text)
-            n = cut_ = 0
-            for line in lines:
+        for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            at = {f["line"]: f["root"] for f in found or ()}
+            seen, left = set(), []
+            n = gone = 0
+            for line in lines_of(text):
                 if not line.strip(_BLANK):
                     left.append(line)
                     continue
                 n += 1
                 own = line_id(line)
-                root = once.get(own, own)
-                if own in gone or root in seen:
-                    cut_ += 1
+                root = at.get(own, own)
+                if root is None or root in seen:
+                    gone += 1
                 else:
                     seen.add(root)
                     left.append(line)
             total.append(n)
-            removed.append(cut_)
+            removed.append(gone)
             kept.append("\n".join(left) if text is not None else None)
         own = [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
-        yield pa.RecordBatch.from_arrays([*own, *batch.columns[4:]], names=["doc_id", "n_lines", "n_removed", "kept_text", *batch.schema.names[4:]])
+        yield pa.RecordBatch.from_arrays([*own, *batch.columns[3:]], names=["doc_id", "n_lines", "n_removed", "kept_text", *batch.schema.names[3:]])
 
 
 def line_dedup(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
@@ -185,33 +202,35 @@ def line_dedup(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
 
     Lines with a word are linked at Jaccard similarity of 0.8 or more of their distinct 5-character
     shingles; of a component the first line by doc_id, then place, stays and the others go, in the same
-    document too. Null text stays null, with no lines. Rows of one doc_id are cleaned alike; lines under
-    a null doc_id are cleaned only within their row and are no source for others.
+    document too. Null text stays null, with no lines; an empty table gives an empty one. Rows of one
+    doc_id are cleaned alike; lines under a null doc_id are cleaned only within their row and are no
+    source for others. Very long lines are compared whole. Other columns of ``docs`` are not looked at.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text", *carried)
     known = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     places = cut(known.mapInArrow(_places, "line long, doc_id long"))
     firsts = cut(places.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
-    sketches = known.select("text").mapInArrow(_sketches, "id long, n long, bands array<long>, odd array<long>")
-    path = scratch(spark)
-    sketches = cut(sketches, path=path)
+    release(spark)
+    repeated = repeats(known, "doc_id")
 
     def fetch(ids: DataFrame) -> DataFrame:
         wanted = firsts.join(ids.withColumnRenamed("id", "line"), "line").groupBy(F.col("first").alias("doc_id")).agg(F.collect_set("line").alias("wanted"))
-        return known.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_members, "id long, members string").dropDuplicates(["id"])
+        found = known.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_bodies, "id long, n long, odd array<long>, body string")
+        return found.dropDuplicates(["id"]) if repeated else found
 
-    linked = link(sketches, fetch, longs=BINS // 64, limit=most_bits, percent=PERCENT, sized=False, path=path, test=exact_jaccard)
-    release(spark)
+    packed = known.select("text").mapInArrow(_packed(parts(spark)), PACKED)
+    linked = link(packed, fetch, longs=BINS // 64, limit=most_bits, percent=PERCENT, sized=False, prepare=_set, similar=similar)
     grouped = linked.withColumnRenamed("id", "line").join(firsts, "line")
     owners = grouped.groupBy("component").agg(F.min("first").alias("owner"))
     grouped = cut(grouped.join(owners, "component").select("line", "component", "owner"))
     # A line goes from a document if its component (or the line alone) is first met in an earlier one.
     moved = firsts.join(grouped, "line", "left").select("line", F.coalesce("owner", "first").alias("owner"), "component", "last").filter("component IS NOT NULL OR last > owner")
-    hits = places.join(moved, "line")
-    gone = hits.filter("doc_id > owner").groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
-    once = hits.filter("doc_id = owner AND component IS NOT NULL").groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("line", "component"))).alias("once"))
-    out = docs.join(gone, "doc_id", "left").join(once, "doc_id", "left").select("doc_id", "text", "gone", "once", *carried)
+    hits = places.join(moved, "line").filter("doc_id > owner OR component IS NOT NULL")
+    found = hits.groupBy("doc_id").agg(F.collect_set(F.struct("line", F.when(F.col("doc_id") == F.col("owner"), F.col("component")).alias("root"))).alias("found"))
+    found = cut(found)
+    release(spark)
+    out = docs.join(found, "doc_id", "left").select("doc_id", "text", "found", *carried)
     more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
     return out.mapInArrow(_strip, f"doc_id long, n_lines long, n_removed long, kept_text string{more}")
 

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groveline.llm import _words as W
-from groveline.llm._links import components, link
-from groveline.llm._shared import cut, flat, read_table, release, slices
+from groveline.llm._links import PACKED, Packer, components, link, parts
+from groveline.llm._shared import cut, flat, read_table, repeats, slices
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS, BITS = 28, 4, 1024
@@ -50,26 +50,66 @@ def _shingles(column: pa.Array):
     return hashes, np.searchsorted(of, np.arange(len(offsets))), words, edges
 
 
+def _signed(rows: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(rows.view(np.int64).reshape(-1)), rows.shape[1]).cast(pa.list_(pa.int64()))
+
+
+def _minima(hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Number of each MinHash sample, its values, and the documents that have any."""
+    some = np.flatnonzero(np.diff(bounds))
+    for k in range(SAMPLES) if len(some) else ():
+        low = np.minimum.reduceat((hashes ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k), bounds[:-1][some])
+        yield k, W.mix(low, 100 + k), some
+
+
+def _digests(words: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """Of the word sequences, by 128 bits."""
+    return [hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest() for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         hashes, bounds, words, edges = _shingles(batch.column(1))
-        n = np.diff(bounds)
-        some = np.flatnonzero(n)
-        bands = np.zeros((batch.num_rows, BANDS), np.uint64)
+        acc = np.zeros((BANDS, batch.num_rows), np.uint64)
+        for k, own, some in _minima(hashes, bounds):
+            acc[k // ROWS, some] = W.mix(acc[k // ROWS, some] ^ own, 7)
+        bands = W.mix(acc.T ^ np.arange(BANDS, dtype=np.uint64), 11)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(_digests(words, edges), pa.binary()), _signed(bands)], names=["doc_id", "n", "digest", "bands"])
+
+
+def _packed(parts: int):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(parts)
+        for batch in batches:
+            bands = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            yield from packer.add(bands.reshape(-1, BANDS), batch.column(0).to_numpy(zero_copy_only=False))
+        yield packer.flush()
+
+    return pack
+
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, n, odd sketch and text; columns doc_id, text."""
+    for batch in slices(batches, "text"):
+        hashes, bounds, _, _ = _shingles(batch.column(1))
         odd = np.zeros((batch.num_rows, BITS // 64), np.uint64)
-        if len(some):
-            first = bounds[:-1][some]
-            acc = np.zeros((BANDS, len(some)), np.uint64)
-            for k in range(SAMPLES):
-                low = np.minimum.reduceat((hashes ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k), first)
-                own = W.mix(low, 100 + k)
-                acc[k // ROWS] = W.mix(acc[k // ROWS] ^ own, 7)
-                bit = own % np.uint64(BITS)
-                odd[some, (bit >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (bit & np.uint64(63))
-            bands[some] = W.mix(acc.T ^ np.arange(BANDS, dtype=np.uint64), 11)
-        digests = [hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest() for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
-        lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).reshape(-1)), x.shape[1]).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), lists(bands), lists(odd)], names=["doc_id", "n", "digest", "bands", "odd"])
+        for _, own, some in _minima(hashes, bounds):
+            bit = own % np.uint64(BITS)
+            odd[some, (bit >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (bit & np.uint64(63))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds), pa.int64()), _signed(odd), batch.column(1)], names=["id", "n", "odd", "body"])
+
+
+def _set(text: str) -> np.ndarray:
+    return _shingles(pa.array([text], pa.large_string()))[0]
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two full sets, sorted hashes of distinct shingles, is high enough."""
+    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+        return False
+    at = np.searchsorted(a, b)
+    both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
 def minhash_dedup(docs: DataFrame) -> DataFrame:
@@ -78,29 +118,26 @@ def minhash_dedup(docs: DataFrame) -> DataFrame:
     Documents are linked if 100 * |A & B| >= 75 * |A | B| of their distinct 5-word shingles (A-Z lowered;
     a shorter text is one shingle). Null, empty and blank texts have none and link with nothing.
     Rows of one ``doc_id`` count as one node: a link of any is a link of all, and all are kept or none.
-    A null ``doc_id`` is linked with nothing, has a null component and is kept.
+    A null ``doc_id`` is linked with nothing, has a null component and is kept. An empty table gives an
+    empty one; texts of any length are compared whole; other columns are not looked at.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    every = cut(docs.mapInArrow(_sketches, "doc_id long, n long, digest binary, bands array<long>, odd array<long>"))
+    every = cut(docs.mapInArrow(_sketches, "doc_id long, n long, digest binary, bands array<long>"))
     known = every.filter("doc_id IS NOT NULL AND n > 0")
     classes = cut(known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")))
-    same = known.select("digest", "doc_id").join(classes.filter("copies > 1"), "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).filter("a <> b")
-    sketches = known.join(classes.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"], "left_semi").groupBy("doc_id", "digest").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
-    # A repeated doc_id can own several texts: a node is then a text, and its id is no more the document's.
-    sketches = cut(sketches.select(F.xxhash64("doc_id", "digest").alias("id"), "doc_id", "n", "bands", "odd"))
-    release(spark)
-    nodes = sketches.select("id", "doc_id")
+    same = known.select("digest", "doc_id").join(classes.filter("copies > 1").drop("copies"), "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).filter("a <> b")
+    # Documents whose words another one of smaller id has are not compared: they hang on that one.
+    heads = known.join(classes.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"], "left_semi").select("doc_id", "bands")
+    repeated = repeats(known, "doc_id")
 
     def fetch(ids: DataFrame) -> DataFrame:
-        wanted = nodes.join(ids, "id").select("doc_id").distinct()
-        texts = docs.join(wanted, "doc_id").mapInArrow(_keyed, "id binary, doc_id long, members array<long>")
-        return texts.select(F.xxhash64("doc_id", F.col("id")).alias("id"), "members").join(ids, "id", "left_semi").dropDuplicates(["id"])
-
-    linked = link(sketches.drop("doc_id"), fetch, longs=BITS // 64, limit=LIMIT, percent=PERCENT)
-    by_id = linked.join(nodes, "id").select("component", F.col("doc_id").alias("a"))
-    roots = by_id.groupBy("component").agg(F.min("a").alias("b"))
-    near = by_id.join(roots, "component").select("a", "b").filter("a <> b")
+        texts = docs.filter("text IS NOT NULL").join(ids.withColumnRenamed("id", "doc_id"), "doc_id")
+        texts = texts.dropDuplicates() if repeated else texts
+        return texts.select("doc_id", "text").mapInArrow(_bodies, "id long, n long, odd array<long>, body string")
+
+    linked = link(heads.mapInArrow(_packed(parts(spark)), PACKED), fetch, longs=BITS // 64, limit=LIMIT, percent=PERCENT, prepare=_set, similar=similar)
+    near = linked.select(F.col("id").alias("a"), F.col("component").alias("b"))
     # Copies hang on their class's least id, and so do the links between classes: stars over stars.
     tops = components(near.union(same)).select(F.col("id").alias("doc_id"), F.col("component").alias("component_id"))
     out = every.select("doc_id", "n").join(tops, "doc_id", "left")
@@ -108,13 +145,6 @@ def minhash_dedup(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        hashes, bounds, words, edges = _shingles(batch.column(1))
-        digests = [hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest() for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))], names=["id", "doc_id", "members"])
-
-
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(read_table(spark, sf_dir, "documents"))
 

@@ -284,31 +284,74 @@ def test_stages_keep_rows_of_null_and_repeated_ids(spark, stage):
     assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(str((*r, len(r[1]))) for r in rows)
 
 
-def test_bucket_runs_across_batches():
-    """Buckets cut by batches, repeated rows and buckets of one id: as a plain grouping gives them."""
-    from groveline.llm._links import _runs
-
-    rnd = random.Random(3)
-    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.int64()) for i in (0, 1)], names=["band", "id"])
-    for _ in range(200):
-        rows, at, batches = sorted((rnd.randint(-3, 9), rnd.randint(-9, 9)) for _ in range(rnd.randint(0, 40))), 0, []
-        while at < len(rows):
-            step = rnd.randint(1, 5)
-            batches.append(batch(rows[at : at + step]))
-            at += step
-        want = []
-        for band in sorted({b for b, _ in rows}):
-            ids = sorted({i for b, i in rows if b == band})
-            want += [(band, x, ids[0], ids[k - 1] if k else x) for k, x in enumerate(ids)] if len(ids) > 1 else []
-        assert [tuple(r.values()) for b in _runs(iter(batches)) for r in b.to_pylist()] == want
-
-
-def test_hot_buckets_are_split_without_loss(spark, monkeypatch):
-    """Buckets taken out as too large keep all their members, once each."""
+@pytest.mark.parametrize("crowded, held", [(8, 1 << 20), (0, 40), (2, 300)])
+def test_buckets_keep_all_members(monkeypatch, crowded, held):
+    """Blocks packed by several tasks, crowded bands bound in their task or not: buckets as a plain grouping gives them."""
     from groveline.llm import _links
 
-    monkeypatch.setattr(_links, "SAMPLE", 1.0)
-    rows = [(i, [7, 100 + i // 2, 1000 + i]) for i in range(300)] * 2
-    out = _links._crowded(spark.createDataFrame(rows, "id long, bands array<long>")).collect()
-    assert sorted((r.band, r.id) for r in out) == [(7, i) for i in range(300)] + [(100 + i // 2, i) for i in range(300)]
-    assert all(r.r0 == 0 for r in out if r.band == 7)
+    monkeypatch.setattr(_links, "CROWDED", crowded)
+    monkeypatch.setattr(_links, "HELD", held)
+    monkeypatch.setattr(_links, "EVERY", 1 if crowded < 8 else 11)
+    rnd, rows, blocks = random.Random(3), set(), []
+    for task in range(4):
+        packer = _links.Packer(7)
+        own = [(i, [rnd.choice((5, 9 << 41, rnd.randrange(40) << 40)), 1000 + i]) for i in rnd.sample(range(90), 40)]
+        for k in range(0, 40, 8):
+            part = own[k : k + 8]
+            blocks += packer.add(np.array([b for _, b in part], np.uint64), np.array([i for i, _ in part], np.int64))
+        blocks.append(packer.flush())
+        rows |= {(b, i) for i, bs in own for b in bs}
+    table = pa.Table.from_batches(blocks).sort_by("part").to_batches(max_chunksize=3)
+    got = {(r["band"], r["id"], r["least"]) for b in _links._buckets(iter(table)) for r in b.to_pylist()}
+    want = {(b, i) for b, i in rows if sum(c == b for c, _ in rows) > 1}
+    assert {(b, i) for b, i, _ in got} == want
+    # What is told of a bucket connects it: stars over stars.
+    nodes = sorted(want)
+    roots = union(len(nodes), [(nodes.index((b, i)), nodes.index((b, m))) for b, i, m in got])
+    assert len(set(roots)) == len({b for b, _ in want}) and all(i >= m for _, i, m in got)
+
+
+def test_many_similar_lines(spark, monkeypatch):
+    """A large group of variants, of which some are unlike most others: random tries change no result."""
+    from groveline.llm import _links
+
+    rnd = random.Random(5)
+    base = [rnd.choice(("alpha", "beta", "gamma", "delta", "omega", "sigma")) + str(k) for k in range(24)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for k in rnd.sample(range(24), rnd.choice((0, 1, 2, 3, 4))):
+            own[k] = "".join(rnd.choice("uvwxyz") for _ in range(6))
+        rows.append((i, " ".join(own)))
+    plain = sorted(map(tuple, line_dedup.line_dedup(frame(spark, rows)).collect()))
+    monkeypatch.setattr(_links, "WORTH", 0)
+    monkeypatch.setattr(_links, "ROUNDS", 2)
+    monkeypatch.setattr(_links, "CROWDED", 0)
+    assert sorted(map(tuple, line_dedup.line_dedup(frame(spark, rows)).collect())) == plain
+    lines = [t for _, t in rows]
+    sets = [line_dedup._set(x) for x in lines]
+    roots = union(len(lines), [(i, j) for i in range(len(lines)) for j in range(i) if line_dedup.similar(sets[i], sets[j])])
+    first = {}
+    assert [r[2] for r in plain] == [int(first.setdefault(roots[i], i) < i) for i in range(len(rows))]
+
+
+def test_recall_of_bands_and_sketches(spark):
+    """Pairs of lines just above the threshold: nearly all are candidates, and pass the sketch."""
+    rnd, found, good = random.Random(9), 0, 0
+    for _ in range(1500):
+        line = "".join(rnd.choice("abcdefghij klmnop") for _ in range(rnd.choice((25, 60, 120, 400)))).strip() or "x"
+        other = list(line)
+        for _ in range(rnd.randint(1, 1 + len(line) // 45)):
+            other[rnd.randrange(len(other))] = rnd.choice("qrstu")
+        other = "".join(other)
+        if not line_dedup.similar(line_dedup._set(line), line_dedup._set(other)):
+            continue
+        low, of = line_dedup._shingles([line, other])
+        bins = line_dedup._signatures(low, of, 2)
+        bands = line_dedup._bands(bins)
+        n = min(128, len(line) - 4)
+        share = 0.1
+        far = int((bins[0] & np.uint64(1) != bins[1] & np.uint64(1)).sum())
+        good += 1
+        found += bool((bands[0] == bands[1]).any()) and far <= 128 * (share + 4.5 * (share * (1 - share) / n) ** 0.5)
+    assert good > 300 and found >= 0.99 * good

@@ -6,9 +6,9 @@
    great group.
 2. Every member is tried against one other: the least id of all its buckets. Links make components.
 3. Buckets of several components are open. While trying all that is left there would cost much more
-   than the rows it has, members outside their bucket's largest component are tried against some
-   random members of it.
-4. What is left in open buckets, members outside the largest component against all of another one, is
+   than the rows it has, members outside their bucket's main component (that of a random member, so
+   most often the largest) are tried against random members of such.
+4. What is left in open buckets, members outside the main component against all of another one, is
    joined; set sizes and sketches are part of the join condition, so a dissimilar pair is no row.
    After that every pair of a bucket is linked, in one component, or tried: nothing is capped.
 
@@ -31,8 +31,10 @@ from groveline.llm._shared import cut, discard, release, scratch
 Limit = int | Callable[[Column], Column]
 #: Band values that a sketching task holds before it sends them; a band is crowded if it is met more than CROWDED times in 1 of EVERY of them.
 HELD, EVERY, CROWDED = 1 << 20, 11, 8
-#: Rounds of random tries at most; tries of a member in each; joined pairs a row above which a round is worth while.
-ROUNDS, TRIES, WORTH = 4, 6, 4
+#: Tries of a member in a round of random tries; joined pairs a row above which a round is worth while, and the share of them that the one before must not have left.
+TRIES, WORTH, LESS = 6, 16, 0.6
+#: Edges that one task contracts; more are parted.
+BLOCK = 1 << 20
 PACKED = "part int, bound boolean, block binary"
 
 
@@ -135,19 +137,43 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(_shared(held))
 
 
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (u, v) of one task to stars with the same components: each id that isn't the least of its own, and that least."""
+    held = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+    u, v = (np.concatenate([h[i] for h in held]) if held else np.zeros(0, np.int64) for i in (0, 1))
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, label = at[: len(u)], at[len(u) :], np.arange(len(ids))
+    while True:
+        x, y = label[a], label[b]
+        open_ = x != y
+        if not open_.any():
+            break
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    other = label != np.arange(len(ids))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[other], pa.int64()), pa.array(ids[label[other]], pa.int64())], names=["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Distributed union-find by alternating large and small stars: edges (a, b) to (id, component = least id)."""
-    pairs = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    seal = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = seal(pairs)
-    while before[0]:
+    """Distributed union-find: edges (a, b) to (id, component = least id).
+
+    Tasks contract blocks of at most about ``BLOCK`` edges to stars. One block is done at once; several
+    are brought together by alternating large and small stars.
+    """
+    pairs = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v"))
+    contracted = lambda df, n: cut(df.repartition(n).mapInArrow(_contract, "u long, v long"))
+    blocks = 1 + pairs.count() // BLOCK
+    pairs, before = contracted(pairs, blocks), None
+    while blocks > 1:
         both = pairs.union(pairs.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         pairs = cut(joined.select("u", F.col("m").alias("v")).union(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
-        after = seal(pairs)
+        after = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if after == before:
             break
         before = after
@@ -205,11 +231,13 @@ def link(packed: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, longs: i
 
     known = components(confirmed(rows.groupBy("id").agg(F.min("least").alias("b")).filter("b < id").select(F.col("id").alias("a"), "b")))
     merged = lambda edges: components(edges.union(known.select("id", "component")))
-    for turn in range(ROUNDS + 1):
+    turn, before = 0, float("inf")
+    while True:
         path = scratch(spark)
         open_, cost, size = _open(rows, known, turn, path)
-        if turn == ROUNDS or cost <= WORTH * size:
+        if cost <= WORTH * size or cost > LESS * before:
             break
+        turn, before = turn + 1, cost
         tries = open_.filter("c <> main").groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("rep", F.lit(turn)).alias("k"), "rep"))), 1, TRIES).alias("reps"))
         tries = tries.select(F.col("id").alias("a"), F.explode("reps").alias("r")).select("a", F.col("r.rep").alias("b"))
         known = merged(confirmed(sifted(tries)))
@@ -232,14 +260,11 @@ def link(packed: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, longs: i
 
 
 def _open(rows: DataFrame, known: DataFrame, turn: int, path: str) -> tuple[DataFrame, int, int]:
-    """Members (band, id, c) of the buckets with several components, their largest component ``main`` and a random member ``rep`` of it,
-    written at ``path``; the pairs that joining them all could make; how many members."""
+    """Members (band, id, c) of the buckets with several components, a random member ``rep`` of each bucket and its component ``main``,
+    so most often the largest one; written at ``path``. Also the pairs that joining them all could make, and how many members."""
     own = rows.select("band", "id").join(known, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-    mixed = own.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("band")
-    own = own.join(mixed, "band", "left_semi")
-    pick = F.min(F.struct(F.xxhash64("id", "band", F.lit(turn)).alias("h"), "id"))["id"]
-    per = own.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"), pick.alias("rep"))
-    best = per.groupBy("band").agg(F.max(F.struct("k", "c", "rep")).alias("best"), F.sum("k").alias("all"))
-    out = cut(own.join(best.select("band", F.col("best.c").alias("main"), F.col("best.rep").alias("rep"), "all"), "band"), path=path)
+    pick = F.min(F.struct(F.xxhash64("id", "band", F.lit(turn)).alias("h"), F.col("id").alias("rep"), F.col("c").alias("main")))
+    mixed = own.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("all"), pick.alias("pick")).filter("low < high")
+    out = cut(own.join(mixed.select("band", "all", "pick.rep", "pick.main"), "band"), path=path)
     size, cost = out.agg(F.count(F.lit(1)), F.sum(F.when(F.col("c") != F.col("main"), F.col("all").cast("double")).otherwise(0.0))).first()
     return out, int(cost or 0), size

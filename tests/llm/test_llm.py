@@ -325,7 +325,7 @@ def test_many_similar_lines(spark, monkeypatch):
         rows.append((i, " ".join(own)))
     plain = sorted(map(tuple, line_dedup.line_dedup(frame(spark, rows)).collect()))
     monkeypatch.setattr(_links, "WORTH", 0)
-    monkeypatch.setattr(_links, "ROUNDS", 2)
+    monkeypatch.setattr(_links, "LESS", 0.95)
     monkeypatch.setattr(_links, "CROWDED", 0)
     assert sorted(map(tuple, line_dedup.line_dedup(frame(spark, rows)).collect())) == plain
     lines = [t for _, t in rows]
@@ -347,11 +347,9 @@ def test_recall_of_bands_and_sketches(spark):
         if not line_dedup.similar(line_dedup._set(line), line_dedup._set(other)):
             continue
         low, of = line_dedup._shingles([line, other])
-        bins = line_dedup._signatures(low, of, 2)
-        bands = line_dedup._bands(bins)
-        n = min(128, len(line) - 4)
-        share = 0.1
-        far = int((bins[0] & np.uint64(1) != bins[1] & np.uint64(1)).sum())
+        bands = line_dedup._bands(line_dedup._signatures(low, of, 2)[0])
+        fine, n = line_dedup._signatures(low, of, 2, line_dedup.FINE)
+        far = int((fine[0] & np.uint64(1) != fine[1] & np.uint64(1)).sum())
         good += 1
-        found += bool((bands[0] == bands[1]).any()) and far <= 128 * (share + 4.5 * (share * (1 - share) / n) ** 0.5)
+        found += bool((bands[0] == bands[1]).any()) and far <= line_dedup.FINE * (0.1 + 4 * (0.1 * 0.9 / min(n)) ** 0.5)
     assert good > 300 and found >= 0.99 * good

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from groveline.llm._shared import cut, discard, release, scratch
 
-#: Most differing sketch bits, or a function of the smaller n of the two that gives them.
-Limit = int | Callable[[Column], Column]
+#: Most differing sketch bits, or a function of both sizes n that gives them.
+Limit = int | Callable[[Column, Column], Column]
 #: Band values that a sketching task holds before it sends them; a band is crowded if it is met more than CROWDED times in 1 of EVERY of them.
 HELD, EVERY, CROWDED = 1 << 20, 11, 8
 #: Tries of a member in a round of random tries; joined pairs a row above which a round is worth while, and the share of them that the one before must not have left.
@@ -180,11 +180,11 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.union(pairs.select("v", "v").distinct()).toDF("id", "component")
 
 
-def _alike(a: str, b: str, longs: int, limit: Limit, percent: int | None) -> Column:
+def _alike(a: str, b: str, longs: int, limit: Limit, percent: int) -> Column:
     bits = sum((F.bit_count(F.col(f"{a}odd")[i].bitwiseXOR(F.col(f"{b}odd")[i])) for i in range(longs)), F.lit(0))
     low, high = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
-    near = bits <= (limit(low) if callable(limit) else limit)
-    return near & (low * 100 >= high * percent) if percent else near
+    near = bits <= (limit(low, high) if callable(limit) else limit)
+    return near & (low * 100 >= high * percent)
 
 
 def _test(prepare: Callable[[Any], Any], similar: Callable[[Any, Any], bool]):
@@ -201,11 +201,11 @@ def _test(prepare: Callable[[Any], Any], similar: Callable[[Any, Any], bool]):
     return keep
 
 
-def link(packed: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, longs: int, limit: Limit, percent: int, prepare: Callable[[Any], Any], similar: Callable[[Any, Any], bool], sized: bool = True) -> DataFrame:
+def link(packed: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, longs: int, limit: Limit, percent: int, prepare: Callable[[Any], Any], similar: Callable[[Any, Any], bool]) -> DataFrame:
     """Components of the sketches in ``packed`` (of ``Packer``) as (id, component); ids without a link are left out.
 
-    ``fetch`` turns ids into (id, n, odd array<long>, body), one row each. ``prepare`` turns a body into
-    what ``similar`` compares. ``sized``: n is the size of the set, so that sizes alone can rule a pair out.
+    ``fetch`` turns ids into (id, n = size of the set, odd array<long>, body). ``prepare`` turns a body
+    into what ``similar`` compares.
     """
     spark = packed.sparkSession
     at = {k: scratch(spark) for k in ("rows", "bodies")}
@@ -216,12 +216,12 @@ def link(packed: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, longs: i
     release(spark)
     sketches = bodies.select("id", "n", "odd")
     side = lambda df, c: df.select(F.col("id").alias(c), *(F.col(k).alias(f"{c}{k}") for k in df.columns[1:]))
-    near = _alike("a", "b", longs, limit, percent if sized else None)
+    near = _alike("a", "b", longs, limit, percent)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those of (a, b), b perhaps in many, that are similar."""
         y = side(bodies, "y")
-        whole = pairs.join(side(bodies, "a"), "a").join(y, (pairs["b"] == y["y"]) & _alike("a", "y", longs, limit, percent if sized else None))
+        whole = pairs.join(side(bodies, "a"), "a").join(y, (pairs["b"] == y["y"]) & _alike("a", "y", longs, limit, percent))
         out = cut(whole.select("a", "b", "abody", "ybody").mapInArrow(_test(prepare, similar), "a long, b long"))
         release(spark)
         return out
@@ -250,7 +250,7 @@ def link(packed: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, longs: i
     x = full.filter("c <> main").select("band", *(F.col(k).alias(f"x{k}") for k in ("id", "n", "odd", "c")))
     y = full.select("band", *(F.col(k).alias(f"y{k}") for k in ("id", "n", "odd", "c")), (F.col("c") == F.col("main")).alias("ymain"))
     fresh = (F.col("xc") != F.col("yc")) & (F.col("ymain") | (F.col("xid") < F.col("yid")))
-    rest = x.join(y, (x["band"] == y["band"]) & fresh & _alike("x", "y", longs, limit, percent if sized else None))
+    rest = x.join(y, (x["band"] == y["band"]) & fresh & _alike("x", "y", longs, limit, percent))
     rest = cut(rest.select(F.col("xid").alias("a"), F.col("yid").alias("b")).distinct())
     release(spark)
     out = known if rest.isEmpty() else merged(confirmed(rest))

@@ -21,8 +21,8 @@ from groveline.llm._shared import cut, read_table, release, repeats, slices
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 21, 5
-#: Bins of the signature that the bands are cut from, and of the one of which a bit each makes the sketch that sifts candidates.
-BINS, FINE = 128, 512
+#: Bins of the signature that the bands are cut from; bits of the parity bitmap of the whole set that sifts candidates.
+BINS, BITS = 128, 1024
 #: Bins that an empty one tries to borrow from.
 BORROW = 64
 #: Ids a task remembers in order to send a frequent line once; past that it starts afresh, and later steps drop repeats.
@@ -31,10 +31,15 @@ _BLANK = " \t\n\v\f\r"
 _FULL = np.uint64(2**64 - 1)
 
 
-def most_bits(filled: Column) -> Column:
-    """Bits in which sketches may differ: the mean at the threshold and four deviations, for that many filled bins."""
-    share = (1 - PERCENT / 100) / 2
-    return FINE * (share + 4 * F.sqrt(F.lit(share * (1 - share)) / filled))
+def most_bits(low: Column, high: Column) -> Column:
+    """Bits in which the bitmaps of sets of these sizes may differ.
+
+    They can't differ in more bits than the sets differ in members, so that bound loses nothing; for
+    sets that fill the bitmap, four deviations above the mean at the threshold are fewer.
+    """
+    most = (low + high) * ((100 - PERCENT) / (100 + PERCENT))
+    mean = BITS / 2 * (1 - F.exp(-2 / BITS * most))
+    return F.least(most + 1e-6, mean + 4 * F.sqrt(most))
 
 
 def lines_of(text: str | None) -> list[str]:
@@ -66,24 +71,20 @@ def _shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return low, of
 
 
-@lru_cache(2)
-def _lenders(size: int) -> np.ndarray:
+@lru_cache(1)
+def _lenders() -> np.ndarray:
     """For each attempt and bin, another bin to borrow from, at random but fixed."""
-    return (W.mix(np.arange(BORROW * size, dtype=np.uint64), 5) % np.uint64(size)).astype(np.int64).reshape(BORROW, size)
-
+    return (W.mix(np.arange(BORROW * BINS, dtype=np.uint64), 5) % np.uint64(BINS)).astype(np.int64).reshape(BORROW, BINS)
 
-def _signatures(low: np.ndarray, of: np.ndarray, n: int, size: int = BINS) -> tuple[np.ndarray, np.ndarray]:
-    """The least hash in each bin of each line, and how many bins have any.
 
-    An empty bin borrows from bins drawn for it, so that the rows of a band stay independent.
-    """
-    bins = np.full(n * size, _FULL)
-    np.minimum.at(bins, of * size + (low & np.uint64(size - 1)).astype(np.int64), low)
+def _signatures(low: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """The least hash in each bin of each line. An empty bin borrows from bins drawn for it, so that the rows of a band stay independent."""
+    bins = np.full(n * BINS, _FULL)
+    np.minimum.at(bins, of * BINS + (low & np.uint64(BINS - 1)).astype(np.int64), low)
     own = bins.copy()
     empty = np.flatnonzero(bins == _FULL)
-    filled = size - np.bincount(empty // size, minlength=n)
-    base, column = empty - empty % size, empty % size
-    for lender in _lenders(size):
+    base, column = empty - empty % BINS, empty % BINS
+    for lender in _lenders():
         if not len(empty):
             break
         value = own[base + lender[column]]
@@ -91,8 +92,19 @@ def _signatures(low: np.ndarray, of: np.ndarray, n: int, size: int = BINS) -> tu
         rest = value == _FULL
         empty, base, column = empty[rest], base[rest], column[rest]
     if len(empty):  # none of its lenders had any: the line's least
-        bins[empty] = own.reshape(n, size).min(1)[empty // size]
-    return W.mix(bins.reshape(n, size) ^ W.mix(np.arange(size, dtype=np.uint64), 3)), filled
+        bins[empty] = own.reshape(n, BINS).min(1)[empty // BINS]
+    return W.mix(bins.reshape(n, BINS) ^ W.mix(np.arange(BINS, dtype=np.uint64), 3))
+
+
+def _parity(low: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Size of each line's set, and a bitmap in which every member flips one bit."""
+    order = np.lexsort((low, of))
+    low, of = low[order], of[order]
+    new = np.ones(len(low), bool)
+    new[1:] = (low[1:] != low[:-1]) | (of[1:] != of[:-1])
+    low, of = low[new], of[new]
+    bits = (np.bincount(of * BITS + (W.mix(low, 21) % np.uint64(BITS)).astype(np.int64), minlength=n * BITS) & 1).astype(np.uint8)
+    return np.bincount(of, minlength=n), np.packbits(bits.reshape(n, BITS), axis=1).view(np.int64)
 
 
 def _bands(bins: np.ndarray) -> np.ndarray:
@@ -139,14 +151,14 @@ def _packed(n: int):
             seen.update(every)
             for lines in _parts(fresh):
                 low, of = _shingles(lines)
-                yield from packer.add(_bands(_signatures(low, of, len(lines))[0]), np.array([line_id(x) for x in lines], np.int64))
+                yield from packer.add(_bands(_signatures(low, of, len(lines))), np.array([line_id(x) for x in lines], np.int64))
         yield packer.flush()
 
     return pack
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, n (filled bins), sketch and the line itself of the wanted lines; columns text, wanted (ids)."""
+    """id, n, bitmap and the line itself of the wanted lines; columns text, wanted (ids)."""
     for batch in slices(batches, "text"):
         found: dict[int, str] = {}
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -154,10 +166,9 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for line in dict.fromkeys(lines_of(text)):
                 if line.strip(_BLANK) and (own := line_id(line)) in wanted:
                     found[own] = line
-        for lines in _parts(list(found.values())):
+        for lines in _parts(list(found.values()), 1 << 17):
             low, of = _shingles(lines)
-            fine, n = _signatures(low, of, len(lines), FINE)
-            odd = np.packbits((fine & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+            n, odd = _parity(low, of, len(lines))
             lists = pa.FixedSizeListArray.from_arrays(pa.array(odd.reshape(-1)), odd.shape[1]).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([line_id(x) for x in lines], pa.int64()), pa.array(n, pa.int64()), lists, pa.array(lines, pa.string())], names=["id", "n", "odd", "body"])
 
@@ -224,7 +235,7 @@ def line_dedup(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
         return found.dropDuplicates(["id"]) if repeated else found
 
     packed = known.select("text").mapInArrow(_packed(parts(spark)), PACKED)
-    linked = link(packed, fetch, longs=FINE // 64, limit=most_bits, percent=PERCENT, sized=False, prepare=_set, similar=similar)
+    linked = link(packed, fetch, longs=BITS // 64, limit=most_bits, percent=PERCENT, prepare=_set, similar=similar)
     grouped = linked.withColumnRenamed("id", "line").join(firsts, "line")
     owners = grouped.groupBy("component").agg(F.min("first").alias("owner"))
     grouped = cut(grouped.join(owners, "component").select("line", "component", "owner"))

@@ -25,10 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groveline.llm import _words as W
 from groveline.llm._shared import cut, discard, release, scratch
 
 #: Most differing sketch bits, or a function of both sizes n that gives them.
 Limit = int | Callable[[Column, Column], Column]
+#: For each bitmap of a sketch, one after another: its longs, and its limit.
+Sifts = list[tuple[int, Limit]]
 #: Band values that a sketching task holds before it sends them; a band is crowded if it is met more than CROWDED times in 1 of EVERY of them.
 HELD, EVERY, CROWDED = 1 << 20, 11, 8
 #: Tries of a member in a round of random tries; joined pairs a row above which a round is worth while, and the share of them that the one before must not have left.
@@ -180,11 +183,33 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.union(pairs.select("v", "v").distinct()).toDF("id", "component")
 
 
-def _alike(a: str, b: str, longs: int, limit: Limit, percent: int) -> Column:
-    bits = sum((F.bit_count(F.col(f"{a}odd")[i].bitwiseXOR(F.col(f"{b}odd")[i])) for i in range(longs)), F.lit(0))
+def parity(members: np.ndarray, of: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """For each of ``n`` sets a bitmap, as signed longs, in which every member (hash; number of its set) flips one bit."""
+    odd = np.bincount(of * bits + (W.mix(members, 21) % np.uint64(bits)).astype(np.int64), minlength=n * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1).view(np.int64)
+
+
+def most_bits(bits: int, percent: int) -> Limit:
+    """Bits in which the parity bitmaps of two sets of that similarity may differ.
+
+    They can't differ in more bits than the sets differ in members, so that bound loses nothing; for
+    sets that fill the bitmap, four deviations above the mean at the threshold are fewer.
+    """
+
+    def limit(low: Column, high: Column) -> Column:
+        most = (low + high) * ((100 - percent) / (100 + percent))
+        return F.least(most + 1e-6, bits / 2 * (1 - F.exp(-2 / bits * most)) + 4 * F.sqrt(most))
+
+    return limit
+
+
+def _alike(a: str, b: str, sifts: Sifts, percent: int) -> Column:
     low, high = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
-    near = bits <= (limit(low, high) if callable(limit) else limit)
-    return near & (low * 100 >= high * percent)
+    near, at = low * 100 >= high * percent, 0
+    for longs, limit in sifts:
+        bits = sum((F.bit_count(F.col(f"{a}odd")[i].bitwiseXOR(F.col(f"{b}odd")[i])) for i in range(at, at + longs)), F.lit(0))
+        near, at = near & (bits <= (limit(low, high) if callable(limit) else limit)), at + longs
+    return near
 
 
 def _test(prepare: Callable[[Any], Any], similar: Callable[[Any, Any], bool]):
@@ -201,7 +226,7 @@ def _test(prepare: Callable[[Any], Any], similar: Callable[[Any, Any], bool]):
     return keep
 
 
-def link(packed: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, longs: int, limit: Limit, percent: int, prepare: Callable[[Any], Any], similar: Callable[[Any, Any], bool]) -> DataFrame:
+def link(packed: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, sifts: Sifts, percent: int, prepare: Callable[[Any], Any], similar: Callable[[Any, Any], bool]) -> DataFrame:
     """Components of the sketches in ``packed`` (of ``Packer``) as (id, component); ids without a link are left out.
 
     ``fetch`` turns ids into (id, n = size of the set, odd array<long>, body). ``prepare`` turns a body
@@ -216,12 +241,12 @@ def link(packed: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, longs: i
     release(spark)
     sketches = bodies.select("id", "n", "odd")
     side = lambda df, c: df.select(F.col("id").alias(c), *(F.col(k).alias(f"{c}{k}") for k in df.columns[1:]))
-    near = _alike("a", "b", longs, limit, percent)
+    near = _alike("a", "b", sifts, percent)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those of (a, b), b perhaps in many, that are similar."""
         y = side(bodies, "y")
-        whole = pairs.join(side(bodies, "a"), "a").join(y, (pairs["b"] == y["y"]) & _alike("a", "y", longs, limit, percent))
+        whole = pairs.join(side(bodies, "a"), "a").join(y, (pairs["b"] == y["y"]) & _alike("a", "y", sifts, percent))
         out = cut(whole.select("a", "b", "abody", "ybody").mapInArrow(_test(prepare, similar), "a long, b long"))
         release(spark)
         return out
@@ -250,7 +275,7 @@ def link(packed: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, longs: i
     x = full.filter("c <> main").select("band", *(F.col(k).alias(f"x{k}") for k in ("id", "n", "odd", "c")))
     y = full.select("band", *(F.col(k).alias(f"y{k}") for k in ("id", "n", "odd", "c")), (F.col("c") == F.col("main")).alias("ymain"))
     fresh = (F.col("xc") != F.col("yc")) & (F.col("ymain") | (F.col("xid") < F.col("yid")))
-    rest = x.join(y, (x["band"] == y["band"]) & fresh & _alike("x", "y", longs, limit, percent))
+    rest = x.join(y, (x["band"] == y["band"]) & fresh & _alike("x", "y", sifts, percent))
     rest = cut(rest.select(F.col("xid").alias("a"), F.col("yid").alias("b")).distinct())
     release(spark)
     out = known if rest.isEmpty() else merged(confirmed(rest))

@@ -12,11 +12,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groveline.llm import _words as W
-from groveline.llm._links import PACKED, Packer, link, parts
+from groveline.llm._links import PACKED, Packer, link, most_bits, parity, parts
 from groveline.llm._shared import cut, read_table, release, repeats, slices
 
 SHINGLE, PERCENT = 5, 80
@@ -31,17 +31,6 @@ _BLANK = " \t\n\v\f\r"
 _FULL = np.uint64(2**64 - 1)
 
 
-def most_bits(low: Column, high: Column) -> Column:
-    """Bits in which the bitmaps of sets of these sizes may differ.
-
-    They can't differ in more bits than the sets differ in members, so that bound loses nothing; for
-    sets that fill the bitmap, four deviations above the mean at the threshold are fewer.
-    """
-    most = (low + high) * ((100 - PERCENT) / (100 + PERCENT))
-    mean = BITS / 2 * (1 - F.exp(-2 / BITS * most))
-    return F.least(most + 1e-6, mean + 4 * F.sqrt(most))
-
-
 def lines_of(text: str | None) -> list[str]:
     """Lines between ``\\n``; those without a word are never compared and never removed."""
     return (text or "").split("\n")
@@ -97,14 +86,12 @@ def _signatures(low: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
 
 
 def _parity(low: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Size of each line's set, and a bitmap in which every member flips one bit."""
+    """Size of each line's set, and the parity bitmap of its members."""
     order = np.lexsort((low, of))
     low, of = low[order], of[order]
     new = np.ones(len(low), bool)
     new[1:] = (low[1:] != low[:-1]) | (of[1:] != of[:-1])
-    low, of = low[new], of[new]
-    bits = (np.bincount(of * BITS + (W.mix(low, 21) % np.uint64(BITS)).astype(np.int64), minlength=n * BITS) & 1).astype(np.uint8)
-    return np.bincount(of, minlength=n), np.packbits(bits.reshape(n, BITS), axis=1).view(np.int64)
+    return np.bincount(of[new], minlength=n), parity(low[new], of[new], n, BITS)
 
 
 def _bands(bins: np.ndarray) -> np.ndarray:
@@ -235,7 +222,7 @@ def line_dedup(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
         return found.dropDuplicates(["id"]) if repeated else found
 
     packed = known.select("text").mapInArrow(_packed(parts(spark)), PACKED)
-    linked = link(packed, fetch, longs=BITS // 64, limit=most_bits, percent=PERCENT, prepare=_set, similar=similar)
+    linked = link(packed, fetch, sifts=[(BITS // 64, most_bits(BITS, PERCENT))], percent=PERCENT, prepare=_set, similar=similar)
     grouped = linked.withColumnRenamed("id", "line").join(firsts, "line")
     owners = grouped.groupBy("component").agg(F.min("first").alias("owner"))
     grouped = cut(grouped.join(owners, "component").select("line", "component", "owner"))

@@ -2,7 +2,8 @@
 
 A document's MinHash samples are folded into a parity bitmap: each sample flips one bit. The bits in
 which two bitmaps differ estimate how many samples differ, J ~ 1 + n/(4k) * ln(1 - 2z/n) for n bits,
-k samples and z differing bits; that is sharp where the similarity is high.
+k samples and z differing bits; that is sharp where the similarity is high. A second bitmap, of all
+members, bounds their difference from below and so spares texts that samples leave in doubt.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groveline.llm import _words as W
-from groveline.llm._links import PACKED, Packer, components, link, parts
+from groveline.llm._links import PACKED, Packer, components, link, most_bits, parity, parts
 from groveline.llm._shared import cut, flat, read_table, repeats, slices
 
 SHINGLE, PERCENT = 5, 75
@@ -25,6 +26,8 @@ BANDS, ROWS, BITS = 28, 4, 1024
 SAMPLES = BANDS * ROWS
 #: Sketches may differ in as many bits as at an estimated similarity of SIFT, some four deviations below the threshold.
 SIFT = 0.55
+#: Bits of the parity bitmap of the whole set, which rules out what the samples leave in doubt.
+WHOLE = 2048
 LIMIT = math.ceil(BITS / 2 * (1 - math.exp((SIFT - 1) * 4 * SAMPLES / BITS)))
 
 
@@ -89,14 +92,15 @@ def _packed(parts: int):
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, n, odd sketch and text; columns doc_id, text."""
+    """id, n, bitmaps of the whole set and of the samples, and text; columns doc_id, text."""
     for batch in slices(batches, "text"):
         hashes, bounds, _, _ = _shingles(batch.column(1))
         odd = np.zeros((batch.num_rows, BITS // 64), np.uint64)
         for _, own, some in _minima(hashes, bounds):
             bit = own % np.uint64(BITS)
             odd[some, (bit >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (bit & np.uint64(63))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds), pa.int64()), _signed(odd), batch.column(1)], names=["id", "n", "odd", "body"])
+        whole = parity(hashes, np.repeat(np.arange(batch.num_rows), np.diff(bounds)), batch.num_rows, WHOLE)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds), pa.int64()), _signed(np.concatenate([whole, odd.view(np.int64)], axis=1)), batch.column(1)], names=["id", "n", "odd", "body"])
 
 
 def _set(text: str) -> np.ndarray:
@@ -136,7 +140,7 @@ def minhash_dedup(docs: DataFrame) -> DataFrame:
         texts = texts.dropDuplicates() if repeated else texts
         return texts.select("doc_id", "text").mapInArrow(_bodies, "id long, n long, odd array<long>, body string")
 
-    linked = link(heads.mapInArrow(_packed(parts(spark)), PACKED), fetch, longs=BITS // 64, limit=LIMIT, percent=PERCENT, prepare=_set, similar=similar)
+    linked = link(heads.mapInArrow(_packed(parts(spark)), PACKED), fetch, sifts=[(WHOLE // 64, most_bits(WHOLE, PERCENT)), (BITS // 64, LIMIT)], percent=PERCENT, prepare=_set, similar=similar)
     near = linked.select(F.col("id").alias("a"), F.col("component").alias("b"))
     # Copies hang on their class's least id, and so do the links between classes: stars over stars.
     tops = components(near.union(same)).select(F.col("id").alias("doc_id"), F.col("component").alias("component_id"))

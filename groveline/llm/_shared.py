@@ -25,6 +25,8 @@ def scratch(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="groveline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/groveline/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
@@ -39,8 +41,25 @@ def cut(df: DataFrame, *, partition_by: tuple[str, ...] = (), path: str | None =
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a scratch table whose readers' results are already written elsewhere."""
+    fs, where = _hadoop(spark, path)
+    fs.delete(where, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder, in order of names; none if there is no such folder."""
+    fs, where = _hadoop(spark, path)
+    return sorted(str(s.getPath()) for s in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether the table there was written to its end."""
+    fs, where = _hadoop(spark, f"{path}/_SUCCESS")
+    return fs.exists(where)
 
 
 def release(spark: SparkSession) -> None:
@@ -65,13 +84,13 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that ``column`` holds about ``most`` bytes in each (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20, rows: int = 1 << 12) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that ``column`` holds about ``most`` bytes in each (one row at least) and no more than ``rows`` rows."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
-        block = np.cumsum(sizes, dtype=np.int64) // most
+        block = np.cumsum(sizes, dtype=np.int64) // most + np.arange(batch.num_rows) // rows * (int(sizes.sum()) // most + 1)
         edges = [0, *(np.flatnonzero(np.diff(block)) + 1), batch.num_rows]
         for a, b in zip(edges, edges[1:], strict=False):
             yield batch.slice(a, b - a)

@@ -25,22 +25,25 @@ PATH_WIDTH, WORD_WIDTH, MEASURES, HIDDEN = 160, 48, 6, 20
 WIDTH = PATH_WIDTH + WORD_WIDTH + MEASURES
 TRAIN_PAGES, EPOCHS, RATE = 4000, 10, 0.01
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+#: A "<" outside quotes ends a tag; where quotes don't match, a tag ends at the next ">". So a page is read in linear time.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/><]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+(?=>)|[^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 _NAME = re.compile(r"[a-z]+|\d+", re.I)
 _SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas textarea select option button head title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style template iframe head title".split())
+#: Controls of forms: what they say is no block.
+CONTROLS = frozenset("textarea select datalist optgroup option button".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mrow mi mo mn ms mtext msup msub mfrac msqrt svg g text tspan object canvas".split())
 #: An opening tag closes an open element of these kinds first, up to the nearest container.
-CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
+CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _BLOCKY = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-_LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
+_LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select", "datalist", "optgroup"}}
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """Leaf blocks in page order: path tokens, text, characters in links. Scripts, styles, heads and hidden parts give none."""
+    """Leaf blocks in page order: path tokens, text, characters in links. Scripts, styles, heads and controls give none; a hidden part's path says that it is hidden."""
     out: list[tuple[tuple[str, ...], str, int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
@@ -58,12 +61,12 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         nonlocal linked
         if parts:
             body = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
-            if body:
+            if body and not any(name in CONTROLS for name, _ in stack):
                 out.append((tuple(t for _, own in stack for t in own), body, linked))
             parts.clear()
             linked = 0
 
-    for m in _TAG.finditer(page):
+    for m in _TAG.finditer(page, 0, page.rfind(">") + 1):
         if m.start() < at:
             continue
         text(m.start())
@@ -89,17 +92,15 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 links = 0
             continue
         flush()
-        if name in RAW or _HIDDEN.search(m[3]):
-            if name in VOID or m[3].endswith("/"):
-                continue
-            close = re.compile(rf"</{re.escape(name)}[\s>/]", re.I)
-            if name in RAW:
-                over = close.search(page, at)
-                at = end if over is None else (page.find(">", over.start()) + 1 or end)
-                if name == "head" and over is None:
-                    body = re.compile(r"<body[\s>]", re.I).search(page, m.end())
-                    at = body.start() if body else m.end()
+        if name in RAW:
+            if m[3].endswith("/"):
                 continue
+            over = re.compile(rf"</{re.escape(name)}[\s>/]", re.I).search(page, at)
+            at = end if over is None else (page.find(">", over.start()) + 1 or end)
+            if name == "head" and over is None:
+                body = re.compile(r"<body[\s>]", re.I).search(page, m.end())
+                at = body.start() if body else m.end()
+            continue
         if name in VOID:
             continue
         closes = CLOSES.get(name) or ({"p"} if name in _BLOCKY else set())
@@ -131,8 +132,10 @@ def features(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
         for t in path:
             row[_slot(t, PATH_WIDTH)] = 1
         words = body.lower().split(" ")
-        for w in set(words) if len(words) < 12 else ():
-            row[PATH_WIDTH + _slot(w, WORD_WIDTH)] = 0.5
+        distinct = set(words)
+        weight = 0.5 * min(1.0, (12 / len(distinct)) ** 0.5)  # long blocks fill many slots, each of them less
+        for w in distinct:
+            row[PATH_WIDTH + _slot(w, WORD_WIDTH)] = weight
         n = len(body)
         row[PATH_WIDTH + WORD_WIDTH :] = (min(n, 1000) ** 0.5 / 16, min(linked / n, 1), len(words) < 4, body[-1] in ".!?:;\"'”»", i / len(page), min(len(page), 200) / 100)
     return x
@@ -360,7 +363,8 @@ def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = 11) -> L
 def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     """page_id, url, text, n_chars for each row (page_id, url, html): blocks of the article joined by blank lines.
 
-    Null or empty html, or a page without article blocks, gives empty text. Rows are independent.
+    Null or empty html, or a page without article blocks, gives empty text. Rows are independent, so
+    repeated ones are read alike; pages of any length are read whole; an empty table gives an empty one.
     """
     model = model or trained()
 

@@ -22,6 +22,8 @@ SAMPLE = 600
 MOST_BROADCAST = 10_000
 #: A text farther from its centroid than this share of the training texts is marked as not accepted.
 REJECT = 0.995
+#: Texts whose vectors are in memory at once.
+ROWS = 1024
 _LETTERS = np.full(256, 0x20, np.uint8)
 _LETTERS[97:123] = np.arange(97, 123)
 _LETTERS[128:] = np.arange(128, 256)
@@ -107,7 +109,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     chosen = known.join(sizes, "lang").filter(unit < F.lit(sample) / F.col("count")).select("doc_id", "text", "lang")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 19):
+        for batch in slices(batches, "text", 1 << 19, ROWS):
             raw = counts(batch.column(1))
             at = [np.flatnonzero(r) for r in raw]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())), pa.array([r[a] for r, a in zip(raw, at, strict=True)], pa.list_(pa.float32()))], names=["doc_id", "lang", "at", "n"])
@@ -125,10 +127,11 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score, accepted for each row (doc_id, text).
 
     ``und`` with score 0, not accepted, if the text is null or has no letter, or nothing was learned.
+    Texts of any length are read whole; repeated rows are judged alike; an empty table gives an empty one.
     """
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 20, ROWS):
             lettered = pc.fill_null(pc.match_substring_regex(batch.column(1), r"\p{L}"), False).to_numpy(zero_copy_only=False)
             if model is None:
                 lettered[:] = False

@@ -21,19 +21,20 @@ WINDOW = 8
 #: Punctuation: more than this share (%) of a line's word characters are symbols or marks of shouting.
 MARKS = re.compile(r"[#*$%&|<>{}\[\]\\~^=!?]")
 MOST_MARKS = 12
+#: The patterns below see a line with A-Z lowered, and only ASCII classes, so that SQL reads them alike.
 #: Navigation: separators between items, or nothing but a menu's words.
 SEPARATOR = re.compile(r"(?:^|[\x20\t])(?:\||>|»|·|•|::|/)(?:[\x20\t]|$)")
 MOST_SEPARATORS = 2
-MENU = re.compile(r"(?i)^\W*(?:home|menu|login|log in|sign in|sign up|register|search|next|previous|prev|back|share|print|reply|read more|more|top|contact|contact us|about|about us|sitemap|skip to content)\W*$")
+MENU = re.compile(r"^[^0-9a-z_]*(?:home|menu|login|log in|sign in|sign up|register|search|next|previous|prev|back|share|print|reply|read more|more|top|contact|contact us|about|about us|sitemap|skip to content)[^0-9a-z_]*$")
 #: Boilerplate: phrases of legal lines, consent banners and scripts.
-PHRASE = re.compile(r"(?i)all rights reserved|copyright\s+(?:\(c\)|©|\d{4})|©\s*\d{4}|terms of (?:use|service)|privacy policy|cookie policy|uses cookies|accept (?:all )?cookies|subscribe to our|click here|enable javascript|lorem ipsum|licensed under|permission is hereby granted|without warranty of any kind|powered by wordpress")
+PHRASE = re.compile(r"all rights reserved|copyright[ \t]+(?:\(c\)|©|[0-9]{4})|©[ \t]*[0-9]{4}|terms of (?:use|service)|privacy policy|cookie policy|uses cookies|accept (?:all )?cookies|subscribe to our|click here|enable javascript|lorem ipsum|licensed under|permission is hereby granted|without warranty of any kind|powered by wordpress")
 #: A document needs this share (%) of its word characters to survive.
 LEAST_LEFT = 50
 
 
 _SPACES = " \t\n\v\f\r"
 _MARKS, _SYMBOLS, _SEPARATORS = "#*$%&|<>{}[]\\~^=!?", "#*$%&|<>", "|>»·•/:"
-#: A line with a phrase has one of these when its case is folded, so texts without them need no search.
+#: A line with a phrase has one of these when A-Z are lowered, so texts without them need no search.
 _TRIGGERS = ("rights reserved", "copyright", "©", "terms of", "privacy policy", "cookie", "subscribe to", "click here", "javascript", "lorem ipsum", "licensed under", "permission is", "without warranty", "powered by")
 
 
@@ -42,13 +43,19 @@ def _solid(text: str) -> int:
     return len(text) - sum(map(text.count, _SPACES))
 
 
+def _lower(text: str) -> str:
+    """A-Z lowered, nothing else."""
+    return text.encode().lower().decode()
+
+
 def line_verdict(line: str, solid: int, marks: bool = True, separators: bool = True, phrases: bool = True) -> str | None:
     """The first rule that a line with a word fails, or None. The flags tell what its text may hold at all."""
     if marks and 100 * sum(map(line.count, _MARKS)) > MOST_MARKS * solid:
         return "punctuation"
-    if separators and len(SEPARATOR.findall(line)) > MOST_SEPARATORS or MENU.match(line):
+    low = _lower(line)
+    if separators and len(SEPARATOR.findall(line)) > MOST_SEPARATORS or MENU.match(low):
         return "navigation"
-    if phrases and PHRASE.search(line):
+    if phrases and PHRASE.search(low):
         return "boilerplate"
     return None
 
@@ -74,7 +81,7 @@ def judge(text: str | None) -> tuple:
     text = text or ""
     words = text.encode().split()  # bytes part at exactly \x20 and \x09-\x0D
     chars = _solid(text)
-    folded = text.casefold()
+    folded = _lower(text)
     may = (any(c in text for c in _MARKS), any(c in text for c in _SEPARATORS), any(t in folded for t in _TRIGGERS))
     seen, dup, left, lines = set(), 0, 0, []
     for line in text.split("\n"):
@@ -101,7 +108,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` and struct ``quality``: the counts, base_failed, kept and clean_text.
 
     Null text is empty: no words, so base_failed. Rows are judged one by one (repeated rows alike);
-    a column already named ``quality`` is replaced. Blank lines stay as they are.
+    a column already named ``quality`` is replaced. Blank lines stay as they are. Texts of any length are
+    judged whole; an empty table gives an empty one.
     """
     docs = docs.drop("quality")
 
@@ -120,11 +128,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     q = lambda p: "'" + p.pattern.replace("'", "''") + "'"
+    low = "translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {q(WORD)}) AS w FROM documents),
 lines AS (SELECT rid, s, i, list_sum(list_transform(regexp_extract_all(s, {q(WORD)}), lambda x: length(x))) AS solid
     FROM (SELECT rid, unnest(string_split(t, chr(10))) AS s, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d) WHERE regexp_matches(s, {q(WORD)})),
 judged AS (SELECT rid, solid, row_number() OVER (PARTITION BY rid, s ORDER BY i) AS nth,
-    NOT (100 * len(regexp_extract_all(s, {q(MARKS)})) > {MOST_MARKS} * solid OR len(regexp_extract_all(s, {q(SEPARATOR)})) > {MOST_SEPARATORS} OR regexp_matches(s, {q(MENU)}) OR regexp_matches(s, {q(PHRASE)})) AS ok FROM lines),
+    NOT (100 * len(regexp_extract_all(s, {q(MARKS)})) > {MOST_MARKS} * solid OR len(regexp_extract_all(s, {q(SEPARATOR)})) > {MOST_SEPARATORS} OR regexp_matches({low}, {q(MENU)}) OR regexp_matches({low}, {q(PHRASE)})) AS ok FROM lines),
 per AS (SELECT rid, count(*) FILTER (nth > 1) AS dup, coalesce(sum(solid) FILTER (ok), 0) AS remain FROM judged GROUP BY rid),
 win AS (SELECT rid, unnest(range(1, len(w) - {WINDOW - 2})) AS p, w FROM d WHERE len(w) >= {WINDOW}),
 keyed AS (SELECT rid, p, count(*) OVER (PARTITION BY rid, array_to_string(w[p:p+{WINDOW - 1}], ' ')) AS n FROM win),

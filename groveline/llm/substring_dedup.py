@@ -1,9 +1,9 @@
 """Exact substring deduplication over a log-structured fingerprint index.
 
-Windows of 13 words are fingerprinted with 64 bits and, independently, 32 more. History is a list of
-sorted immutable runs (Parquet, ordered by fingerprint). A new batch, whose documents all come
-later, is merge-joined with the runs on the first hash, verified on the second, and what was new
-becomes a run; when more than ``fanout`` runs exist they are compacted into one.
+Windows of 13 words are fingerprinted with 128 bits, of which the second half verifies the first: it is
+made of another, unrelated hash of every word. History is a list of sorted immutable runs, bucketed by
+fingerprint. A new batch, whose documents all come later, is merge-joined with each run, which stays
+where it is; what was new becomes a run, and when more than ``fanout`` runs exist they are compacted into one.
 
 To keep the index small a corpus pass goes first: every window is assigned the least 4-word
 fingerprint in it (equal windows get equal anchors), and only windows whose anchor occurs under
@@ -12,7 +12,9 @@ two document ids can repeat, so only those are indexed. That filter is exact.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groveline.llm import _words as W
-from groveline.llm._shared import cut, discard, flat, read_table, release, scratch, slices
+from groveline.llm._shared import children, complete, cut, discard, flat, read_table, release, scratch, slices
 
 WINDOW, GRAM = 13, 4
 
@@ -31,13 +33,19 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _windows(column: pa.Array):
-    """Word spans, and for each window that lies in one document: place of its first word, document, anchor, hashes."""
+    """Word spans and two unrelated hashes of each word, and for each window that lies in one document: place of its first word, anchor."""
     data, offsets = flat(column)
     starts, ends, docs = W.spans(data, offsets)
     words = W.word_hashes(data, starts, ends)
     at = np.flatnonzero(W.inside(docs, WINDOW))
     anchor = W.sliding_min(W.grams(words, GRAM), WINDOW - GRAM + 1)[at] if len(at) else np.zeros(0, np.uint64)
-    return data, offsets, starts, ends, docs, words, at, anchor
+    return data, starts, ends, docs, words, at, anchor
+
+
+def _fingerprint(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 128 bits of the windows at ``at``: two hashes over unrelated hashes of the words."""
+    other = W.word_hashes(data, starts, ends, 2)
+    return _signed(W.grams(words, WINDOW, 5)[at]), _signed(W.grams(other, WINDOW, 9)[at])
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,29 +60,43 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows (low, high, doc_id) of columns doc_id, text and perhaps anchors, of which a window must have one."""
     for batch in slices(batches, "text"):
-        *_, docs, words, at, anchor = _windows(batch.column(1))
+        data, starts, ends, docs, words, at, anchor = _windows(batch.column(1))
         if not len(at):
             continue
-        shared, bounds = batch.column(2).flatten().to_numpy(zero_copy_only=False), batch.column(2).offsets.to_numpy()
-        bounds = bounds - bounds[0]
         of = docs[at]
-        hit = np.zeros(len(at), bool)
-        edges = np.searchsorted(of, np.arange(batch.num_rows + 1))
-        for d in range(batch.num_rows):
-            a, b = edges[d], edges[d + 1]
-            if b > a:
-                hit[a:b] = np.isin(_signed(anchor[a:b]), shared[bounds[d] : bounds[d + 1]])
-        at, of = at[hit], of[hit]
+        if batch.num_columns > 2:
+            shared, bounds = batch.column(2).flatten().to_numpy(zero_copy_only=False), batch.column(2).offsets.to_numpy()
+            bounds = bounds - bounds[0]
+            hit = np.zeros(len(at), bool)
+            edges = np.searchsorted(of, np.arange(batch.num_rows + 1))
+            for d in range(batch.num_rows):
+                a, b = edges[d], edges[d + 1]
+                if b > a:
+                    hit[a:b] = np.isin(_signed(anchor[a:b]), shared[bounds[d] : bounds[d + 1]])
+            at, of = at[hit], of[hit]
         ids = batch.column(0).to_numpy(zero_copy_only=False)[of]
-        low, high = W.grams(words, WINDOW, 5), W.grams(words, WINDOW, 9)
-        yield pa.RecordBatch.from_arrays([pa.array(_signed(low[at])), pa.array((high[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids.astype(np.int64))], names=["low", "high", "doc_id"])
+        low, high = _fingerprint(data, starts, ends, words, at)
+        yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(ids.astype(np.int64))], names=["low", "high", "doc_id"])
+
+
+def _among(low: np.ndarray, high: np.ndarray, gone: pa.Array) -> np.ndarray:
+    """Which of the fingerprints are in ``gone`` (structs)."""
+    a, b = (gone.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    order = np.argsort(a)
+    a, b = a[order], b[order]
+    if (a[1:] == a[:-1]).any():  # equal in one half only: compare whole ones
+        known = set(zip(a.tolist(), b.tolist(), strict=True))
+        return np.array([x in known for x in zip(low.tolist(), high.tolist(), strict=True)], bool)
+    at = np.minimum(np.searchsorted(a, low), len(a) - 1)
+    return (a[at] == low) & (b[at] == high)
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
-        data, offsets, starts, ends, docs, words, at, _ = _windows(batch.column(1))
-        low = _signed(W.grams(words, WINDOW, 5)[at]) if len(at) else np.zeros(0, np.int64)
+        data, starts, ends, docs, words, at, _ = _windows(batch.column(1))
+        low, high = _fingerprint(data, starts, ends, words, at) if len(at) else (np.zeros(0, np.int64),) * 2
         gone, whole = batch.column(2), pc.fill_null(batch.column(3), False).to_pylist()
         raw = data.tobytes()
         word_edges = np.searchsorted(docs, np.arange(batch.num_rows + 1))
@@ -85,9 +107,9 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = np.ones(b - a, bool)
             if whole[d] and b - a >= WINDOW:
                 keep[:] = False
-            elif gone[d].is_valid and b > a:
+            elif gone[d].is_valid and len(gone[d]) and b - a >= WINDOW:
                 u, v = window_edges[d], window_edges[d + 1]
-                hit = at[u:v][np.isin(low[u:v], gone[d].values.to_numpy(zero_copy_only=False))] - a
+                hit = at[u:v][_among(low[u:v], high[u:v], gone[d].values)] - a
                 step = np.zeros(b - a + 1, np.int64)
                 np.add.at(step, hit, 1)
                 np.add.at(step, hit + WINDOW, -1)
@@ -99,75 +121,109 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of window fingerprints under one folder."""
+    """Sorted immutable runs of window fingerprints below one folder; what runs there are is read off the folder.
 
-    def __init__(self, spark: SparkSession, fanout: int = 2, root: str | None = None):
-        self.spark, self.fanout, self.root, self.runs, self.written = spark, fanout, root or scratch(spark), [], 0
+    A run is a table bucketed by fingerprint and sorted, so merging a batch with it moves the batch
+    only. A later session that opens the folder goes on from its runs; ``buckets`` must be the same.
+    """
 
-    def _write(self, keys: DataFrame) -> str:
+    def __init__(self, spark: SparkSession, fanout: int = 2, root: str | None = None, buckets: int | None = None):
+        self.spark, self.fanout, self.root = spark, fanout, root or scratch(spark)
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.tables: dict[str, str] = {}
+        for path in children(spark, self.root):
+            if path.rsplit("/", 1)[-1].startswith("run-") and complete(spark, path):
+                self._open(path)
+        self.written = max((int(p.rsplit("-", 1)[-1]) for p in self.tables), default=0)
+
+    def _open(self, path: str) -> None:
+        name = f"fingerprints_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} (low BIGINT, high BIGINT) USING parquet CLUSTERED BY (low, high) SORTED BY (low, high) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        self.tables[path] = name
+
+    def _write(self, keys: DataFrame) -> None:
         self.written += 1
-        path = f"{self.root}/run-{self.written:05d}"
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        keys.select("low", "high").repartition(n, "low", "high").sortWithinPartitions("low", "high").write.parquet(path)
-        return path
-
-    def history(self) -> DataFrame | None:
-        return self.spark.read.schema("low long, high int").parquet(*self.runs) if self.runs else None
+        path, name = f"{self.root}/run-{self.written:05d}", f"fingerprints_{uuid.uuid4().hex}"
+        keys = keys.select("low", "high").repartition(self.buckets, "low", "high")
+        keys.write.bucketBy(self.buckets, "low", "high").sortBy("low", "high").option("path", path).saveAsTable(name)
+        self.tables[path] = name
 
     def add(self, windows: DataFrame) -> DataFrame:
-        """Merge-join a batch (low, high, doc_id; later than all before it) and absorb it; returns (doc_id, low) of its repeats."""
-        keys = windows.groupBy("low", "high").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        old = self.history()
-        seen = keys.join(old.withColumn("seen", F.lit(True)), ["low", "high"], "left") if old is not None else keys.withColumn("seen", F.lit(None).cast("boolean"))
+        """Merge-join a batch (low, high, doc_id; later than all before it) and absorb it; returns (doc_id, low, high) of its repeats."""
+        seen = windows.groupBy("low", "high").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        known = F.lit(False)
+        for k, name in enumerate(self.tables.values()):
+            seen = seen.join(self.spark.table(name).withColumn(f"in{k}", F.lit(True)), ["low", "high"], "left")
+            known = known | F.coalesce(f"in{k}", F.lit(False))
         path = scratch(self.spark)
-        keys = cut(seen.withColumn("seen", F.coalesce("seen", F.lit(False))), path=path)
-        self.runs.append(self._write(keys.filter(~F.col("seen"))))
+        keys = cut(seen.select("low", "high", "first", "last", known.alias("seen")), path=path)
+        self._write(keys.filter(~F.col("seen")))
         release(self.spark)
-        if len(self.runs) > self.fanout:
+        if len(self.tables) > self.fanout:
             self.compact()
-        known = keys.filter(F.col("seen") | (F.col("first") < F.col("last"))).drop("last")
-        hits = windows.join(known, ["low", "high"]).filter(F.col("seen") | (F.col("doc_id") > F.col("first")))
-        out = cut(hits.select("doc_id", "low").distinct())
+        repeated = keys.filter(F.col("seen") | (F.col("first") < F.col("last"))).drop("last")
+        hits = windows.join(repeated, ["low", "high"]).filter(F.col("seen") | (F.col("doc_id") > F.col("first")))
+        out = cut(hits.select("doc_id", "low", "high").distinct())
         discard(self.spark, path)
         return out
 
     def compact(self) -> None:
-        old, self.runs = self.runs, [self._write(self.history())]
-        for path in old:
+        """Bring all runs into one; runs never share a fingerprint, unless a compaction broke off before it deleted them."""
+        old = dict(self.tables)
+        self._write(reduce(DataFrame.union, map(self.spark.table, old.values())).distinct())
+        for path, name in old.items():
+            self.spark.sql(f"DROP TABLE {name}")
             discard(self.spark, path)
+            del self.tables[path]
+
+    def close(self, delete: bool) -> None:
+        for path, name in self.tables.items():
+            self.spark.sql(f"DROP TABLE {name}")
+            if delete:
+                discard(self.spark, path)
+        self.tables = {}
 
 
-def substring_dedup(docs: DataFrame, batches: int = 3, fanout: int = 2) -> DataFrame:
+def substring_dedup(docs: DataFrame, batches: int = 3, fanout: int = 2, root: str | None = None) -> DataFrame:
     """Remove each word covered by a 13-word window that also starts under a smaller ``doc_id``.
 
     Takes ``doc_id`` and ``text``; returns doc_id, n_words, n_removed, kept_text, a row for each row.
     Null or empty text: no words. Null ``doc_id``: neither a source nor judged, all words stay.
-    Rows that repeat a ``doc_id`` count as one id, so they never remove each other's words.
+    Rows that repeat a ``doc_id`` count as one id, so they never remove each other's words. Texts of
+    any length are read whole; an empty table gives an empty one; other columns are not looked at.
+
+    ``root``: the folder of an index that lasts. What it holds counts as earlier than ``docs``, and
+    all windows of ``docs`` are added to it (without one, only those that can repeat are indexed).
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     known = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    anchors = known.mapInArrow(_anchors, "anchor long, doc_id long")
-    shared = cut(anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor"))
-    release(spark)
     # Whole copies of earlier texts lose every window at once and bring nothing new: they stay out of the index.
     texts = known.select("doc_id", F.sha2("text", 256).alias("digest"))
     owners = texts.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     copies = cut(texts.join(owners, "digest", "left").groupBy("doc_id").agg(F.min(F.coalesce(F.col("doc_id") > F.col("owner"), F.lit(False))).alias("copy")).filter("copy"))
-    flagged = anchors.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")).join(copies, "doc_id", "left_anti")
-    edges = known.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
+    if root is None:
+        anchors = known.mapInArrow(_anchors, "anchor long, doc_id long")
+        shared = cut(anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor"))
+        release(spark)
+        flagged = anchors.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")).join(copies, "doc_id", "left_anti")
+        indexed = known.join(flagged, "doc_id")
+    else:
+        indexed = known.join(copies, "doc_id", "left_anti")
+    edges = known.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or [] if batches > 1 else []
     batch = sum((F.when(F.col("doc_id") > e, 1).otherwise(0) for e in edges), F.lit(0))
     path = scratch(spark)
-    windows = cut(known.join(flagged, "doc_id").mapInArrow(_fingerprints, "low long, high int, doc_id long").withColumn("batch", batch), partition_by=("batch",), path=path)
+    windows = cut(indexed.mapInArrow(_fingerprints, "low long, high long, doc_id long").withColumn("batch", batch), partition_by=("batch",), path=path)
     release(spark)
-    index, hits = FingerprintIndex(spark, fanout), None
+    index, hits = FingerprintIndex(spark, fanout, root), None
     for b in range(len(set(edges)) + 1 if edges else 1):
         found = index.add(windows.filter(F.col("batch").isin([v for v in _levels(edges, b)])).drop("batch"))
         hits = found if hits is None else hits.unionByName(found)
         for v in _levels(edges, b):
             discard(spark, f"{path}/batch={v}")
         release(spark)
-    gone = hits.groupBy("doc_id").agg(F.collect_set("low").alias("gone"))
+    index.close(delete=root is None)
+    gone = hits.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("gone"))
     gone = gone.join(copies, "doc_id", "full")
     return docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone", "copy").mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept_text string")
 

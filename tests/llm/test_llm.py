@@ -125,6 +125,34 @@ def test_bpe_is_tiktoken(spark, rows):
         assert bytes(r.decoded) == (r.text or "").encode()
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_that_collide_in_polynomials(spark):
+    """A Thue-Morse word and its complement have one hash modulo 2**64 whatever the base: they must count as different."""
+    word, other = thue_morse(2048), thue_morse(2048).translate(str.maketrans("ab", "ba"))
+    rest = " one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, word + rest), (2, other + rest), (3, word + rest)]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+    near = {r.doc_id: r.component_id for r in minhash_dedup.minhash_dedup(frame(spark, [(1, word), (2, other), (3, word)])).collect()}
+    assert near == {1: 1, 2: 2, 3: 1}
+
+
+def test_an_index_that_lasts(spark):
+    """Two calls on one folder remove what one call on both batches removes."""
+    rows = sorted(corpus(4, 50))
+    old, new = rows[:30], rows[30:]
+    root = substring_dedup.scratch(spark)
+    whole = {r.doc_id: (r.n_removed, r.kept_text) for r in substring_dedup.substring_dedup(frame(spark, rows)).collect()}
+    parts = {}
+    for batch in (old[:15], old[15:], new):
+        parts |= {r.doc_id: (r.n_removed, r.kept_text) for r in substring_dedup.substring_dedup(frame(spark, batch), 1, root=root).collect()}
+    assert parts == whole and any(n for n, _ in whole.values())
+    assert 0 < len([p for p in substring_dedup.children(spark, root) if "/run-" in p]) <= 2
+
+
 def test_archive(spark):
     long = "é" * 60
     pages = [(5, "u", long), (2, "u\r\nX: y", long), (7, None, "tiny"), (8, "u", "tiny"), (9, "u", None), (None, "u", long), (2, "u", long)]
@@ -133,7 +161,18 @@ def test_archive(spark):
     warc_archive.write_archive(df, root)
     assert spark.read.parquet(f"{root}/payloads").count() == 3
     back = warc_archive.read_archive(spark, root).collect()
-    assert sorted((key(r.page_id), r.refers_to or 0, bytes(r.payload).decode()) for r in back) == sorted((key(i), 2 if h == long and i != 2 else 0, h or "") for i, _, h in pages)
+    assert sorted((key(r.page_id), bytes(r.stored).decode()) for r in back) == sorted((key(i), h or "") for i, _, h in pages)
+    read = warc_archive.parse_records(warc_archive.read_archive(spark, root)).collect()
+    assert len({r.record_id for r in read}) == len(pages)
+    named = {r.record_id: r for r in read}
+    for r in read:
+        other = named.get(r.refers_to_record)
+        revisit = bytes(r.payload).decode() == long and r.page_id != 2
+        assert r.record_type == ("revisit" if revisit else "response") and (other.page_id == 2 and other.record_type == "response" if revisit else other is None)
+        assert hashlib.sha256(bytes(r.payload)).hexdigest() == r.digest
+    empty = warc_archive.scratch(spark)
+    warc_archive.write_archive(df.limit(0), empty)
+    assert warc_archive.parse_records(warc_archive.read_archive(spark, empty)).count() == 0
     for r in back:
         record = bytes(r.record)
         head, _, rest = record.partition(b"\r\n\r\n")
@@ -145,7 +184,7 @@ def test_archive(spark):
     broken.write.parquet(f"{root}-2/payloads")
     spark.read.parquet(f"{root}/headers").write.parquet(f"{root}-2/headers")
     with pytest.raises(Exception, match="broken payload"):
-        warc_archive.read_archive(spark, f"{root}-2").select("payload").collect()
+        warc_archive.read_archive(spark, f"{root}-2").select("stored").collect()
 
 
 def union(n, links):
@@ -354,3 +393,30 @@ def test_recall_of_bands_and_sketches(spark):
         good += 1
         found += bool((bands[0] == bands[1]).any())
     assert good > 300 and found >= 0.99 * good
+
+
+def test_page_parts():
+    """Formulas stay in their paragraph, controls and scripts go, tags without an end take linear time."""
+    texts = lambda page: [t for _, t, _ in html_extract.blocks(page)]
+    assert texts("<article><p>Let <math>x</math> be 5 and <svg><text>y</text></svg>.</p></article>") == ["Let x be 5 and y."]
+    assert texts("<datalist><option value=a>A<option value=b>B</datalist><p>Text</p><script>no</script><noscript>shown</noscript>") == ["Text", "shown"]
+    assert html_extract.blocks("<div hidden>x</div>")[0][0][-1] == "hidden"
+    assert texts("<p>a</p><script>let x") == ["a"] and texts("") == [] and texts("<a title='x < y'>t</a>") == ["t"]
+    import time
+
+    for bad in ("<a ", '<a "', "<!--x", "<a '>", "<p"):
+        start = time.perf_counter()
+        html_extract.blocks(bad * 20000)
+        html_extract.blocks(bad * 20000 + ">")
+        assert time.perf_counter() - start < 5
+
+
+def test_rules_read_ascii_classes_alike():
+    import duckdb
+
+    lines = ["é menu é", "copyright\u00a0(c)", "copyright (c) 2020", "prıvacy polıcy", "PRIVACY policy", "Menu", "- Home -", "ſubscribe to our", "a | b | c | d | e", "## ## !!"]
+    text = " ".join(f"w{i}" for i in range(30))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT unnest(range(0, ?)) AS doc_id, unnest(?) AS text", [len(lines), [f"{text}\n" * 1 + f"{x}\n{x} {text}" for x in lines]])
+    want = {r[0]: r[1] for r in con.execute(f"SELECT doc_id, kept FROM ({quality_rules.SQL})").fetchall()}
+    assert want == {i: quality_rules.judge(f"{text}\n{x}\n{x} {text}")[6] for i, x in enumerate(lines)}

@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groveline import adapters as A
-from groveline.functions import curves
+from groveline.functions import curves, fitting
 from groveline.operators import inventory as inv
-from groveline.operators import crowns, matching, raster
+from groveline.operators import crowns, matching, openings, raster
 from groveline.plans import rules
+from groveline.plans.profile import Profile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -188,15 +189,25 @@ F_SQL = {
 _ROW = "SELECT plot_id, code::VARCHAR AS code, severity::BIGINT AS severity, subject::VARCHAR AS subject, round(value::DOUBLE, 6) AS value, threshold::DOUBLE AS threshold FROM ({}) AS f(plot_id, code, severity, subject, value, threshold)"
 
 
-def _context(spark, d) -> rules.Context:
+#: Limits that fire on the adapter's stands, where the default ones stay silent.
+TIGHT = Profile(min_gini=0.5, min_shannon=1.0985, max_species_share=0.34, dbh_outlier_z=1.65, max_plausible_dbh_cm=48.0, max_plausible_height_m=33.0)
+_TIGHT_SQL = {"structural_diversity": (("0.15", "0.5"),), "species_diversity": (("0.35", "1.0985"), ("0.9", "0.34")), "dbh_outliers": (("3.0", "1.65"),), "implausible_dimensions": (("> 250", "> 48"), ("> 120", "> 33"))}
+
+
+def _context(spark, d, profile: Profile | None = None) -> rules.Context:
     extent = A.rasters(spark, d).select(F.col("xll").alias("xmin"), F.col("yll").alias("ymin"), (F.col("xll") + F.col("ncols") * F.col("cellsize")).alias("xmax"), (F.col("yll") + F.col("nrows") * F.col("cellsize")).alias("ymax"))
-    return rules.Context(A.trees(spark, d), A.plots(spark, d), extent)
+    curve = A.plots(spark, d).select("plot_id", F.lit("").alias("species"), *fitting.default_model(F.lit("")))  # given, so that SQL can say the same
+    return rules.Context(A.trees(spark, d), A.plots(spark, d), extent, profile or Profile(), models=curve)
 
 
 def _rule(name: str):
-    @query(T + _ROW.format(F_SQL[name]), f"rule_{name}")
+    sql = F_SQL[name]
+    for old, new in _TIGHT_SQL.get(name, ()):
+        sql = sql.replace(old, new)
+
+    @query(T + _ROW.format(sql), f"rule_{name}")
     def one(spark, d):
-        return r6(rules.inspect(_context(spark, d), [getattr(rules, name)]).drop("title"))
+        return r6(rules.inspect(_context(spark, d, TIGHT if name in _TIGHT_SQL else None), [getattr(rules, name)]).drop("title"))
 
 
 for _name in F_SQL:
@@ -214,13 +225,40 @@ def findings_summary(spark, d):
     return r6(rules.summary(rules.inspect(_context(spark, d))))
 
 
-@query(T + """, blank AS (SELECT plot_id, row_number() OVER (PARTITION BY plot_id ORDER BY o) AS k FROM (SELECT plot_id, tree_id || '/' || x || '/' || y AS o FROM t0) WHERE false)
-SELECT l_suppkey AS plot_id, count(*) AS stems, count(*) AS ids FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem) GROUP BY 1""")
+@query(T + f"SELECT plot_id, max(severity)::BIGINT AS severity FROM ({_ROW.format(_ALL)}) GROUP BY 1")
+def findings_worst(spark, d):
+    return r6(rules.worst(rules.inspect(_context(spark, d))))
+
+
+@query(T + f"SELECT plot_id, code, subject FROM ({_ROW.format(_ALL)}) WHERE severity >= 2")
+def findings_at_or_above(spark, d):
+    return rules.at_or_above(rules.inspect(_context(spark, d)), "warning").select("plot_id", "code", "subject")
+
+
+@query()
+def fit_naslund(spark, d):
+    return fitting.model_rows(fitting.fit_by_species(A.trees(spark, d), "naslund"))
+
+
+@query()
+def fit_power(spark, d):
+    return fitting.model_rows(fitting.fit_by_species(A.trees(spark, d), "power"))
+
+
+@query()
+def rule_height_anomalies_fitted(spark, d):
+    return r6(rules.inspect(rules.Context(A.trees(spark, d), A.plots(spark, d)), [rules.height_anomalies]).drop("title"))
+
+
+@query(T + """, o AS (SELECT DISTINCT l_suppkey AS plot_id, l_orderkey FROM lineitem), given AS (SELECT plot_id, l_orderkey::VARCHAR AS tree_id FROM o WHERE l_orderkey % 3 <> 0),
+    blank AS (SELECT plot_id, l_orderkey, row_number() OVER (PARTITION BY plot_id ORDER BY l_orderkey) AS k FROM o WHERE l_orderkey % 3 = 0),
+    free AS (SELECT plot_id, i, row_number() OVER (PARTITION BY plot_id ORDER BY i) AS k FROM (SELECT plot_id, unnest(range(1, count(*) + 1)) AS i FROM o GROUP BY plot_id) n WHERE NOT EXISTS (SELECT 1 FROM given WHERE given.plot_id = n.plot_id AND given.tree_id = n.i::VARCHAR))
+SELECT plot_id, l_orderkey, l_orderkey::VARCHAR AS tree_id FROM o WHERE l_orderkey % 3 <> 0 UNION ALL SELECT plot_id, l_orderkey, i::VARCHAR FROM blank JOIN free USING (plot_id, k)""")
 def id_generation(spark, d):
-    """Ids of every third order are blanked; afterwards every stem of a plot has an id of its own."""
+    """Ids of every third order are blanked and filled again with the least numbers that no stem of the plot has."""
     t = A._table(spark, d, "lineitem").select(F.col("l_suppkey").alias("plot_id"), "l_orderkey").distinct()
     t = t.withColumn("tree_id", F.when(F.col("l_orderkey") % 3 == 0, "").otherwise(F.col("l_orderkey").cast("string")))
-    return inv.generated_ids(t, "l_orderkey").groupBy("plot_id").agg(F.count(F.lit(1)).alias("stems"), F.countDistinct("tree_id").alias("ids"))
+    return inv.generated_ids(t, "l_orderkey")
 
 
 # Rasters
@@ -363,8 +401,9 @@ def boundary_walls(spark, d):
 
 def _reach(connectivity: int) -> str:
     cond = "abs(a.row - b.row) + abs(a.col - b.col) <= 1" if connectivity == 4 else "abs(a.col - b.col) <= 1"
+    # A component's least cell has no smaller neighbour, so spreading from such cells alone is enough.
     return f""", n AS (SELECT a.row AS r0, a.col AS c0, b.row, b.col FROM o a JOIN o b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND {cond}),
-reach(r0, c0, k) AS (SELECT row, col, row * ncols + col FROM o, dim UNION SELECT n.row, n.col, reach.k FROM reach JOIN n ON n.r0 = reach.r0 AND n.c0 = reach.c0),
+reach(r0, c0, k) AS (SELECT row, col, row * ncols + col FROM o, dim WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.r0 = o.row AND n.c0 = o.col AND n.row * ncols + n.col < o.row * ncols + o.col) UNION SELECT n.row, n.col, reach.k FROM reach JOIN n ON n.r0 = reach.r0 AND n.c0 = reach.c0),
 lab AS (SELECT r0 AS row, c0 AS col, min(k)::BIGINT AS label FROM reach GROUP BY 1, 2)"""
 
 
@@ -385,6 +424,33 @@ def gaps_raw(spark, d):
     return r6(raster.gaps(A.cells(spark, d), A.rasters(spark, d), 3.0, 5.0).drop("raster_id"))
 
 
+@query(C + _OPEN + _reach(8) + " SELECT row::BIGINT AS row, col::BIGINT AS col FROM lab JOIN (SELECT label, bool_or(row = 0 OR col = 0 OR row = nrows - 1 OR col = ncols - 1) AS edge FROM lab, dim GROUP BY label) USING (label) WHERE edge")
+def border_components(spark, d):
+    return r6(raster.border_reaching(A.cells(spark, d), A.rasters(spark, d), 3.0).drop("raster_id"))
+
+
+# A circle of radius 0.5 fits in every open cell, so opening by a width of 1 changes nothing.
+@query(C + "SELECT row::BIGINT AS row, col::BIGINT AS col FROM v WHERE v < 8")
+def opening_by_one_cell(spark, d):
+    return r6(openings.opened_cells(A.cells(spark, d), A.rasters(spark, d), 8.0, 0.5).select("row", "col"))
+
+
+@query()
+def opening_mask(spark, d):
+    return r6(openings.opened_cells(A.cells(spark, d), A.rasters(spark, d), 8.0, 1.5).select("row", "col"))
+
+
+@query()
+def gaps_opened(spark, d):
+    return r6(raster.gaps(A.cells(spark, d), A.rasters(spark, d), 8.0, 5.0, min_width=2.0, with_width=True).drop("raster_id"))
+
+
+@query()
+def inscribed_circle(spark, d):
+    lab = raster.labelled(A.cells(spark, d).filter("v < 3"), A.rasters(spark, d))
+    return r6(openings.widths(lab).drop("raster_id"))
+
+
 @query(C + "SELECT a.row::BIGINT AS row, a.col::BIGINT AS col, round(a.v, 6) AS v FROM v a WHERE a.v >= 2 AND NOT EXISTS (SELECT 1 FROM v b WHERE b.v > a.v AND (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= (0.8 + 0.055 * a.v) ** 2)")
 def treetop_candidates(spark, d):
     return r6(raster.treetop_candidates(A.cells(spark, d), A.rasters(spark, d)).drop("raster_id"))
@@ -415,6 +481,17 @@ def match_candidates(spark, d):
     return r6(matching.range_join(*_points(spark, d), 2.5).select("plot_id", "a_id", "b_id", "distance"))
 
 
+@query(T.replace("WITH t0", "WITH RECURSIVE t0", 1) + _PTS + """, e AS (SELECT plot_id, a_id, b_id FROM a JOIN b USING (plot_id) WHERE sqrt((ax - bx) ** 2 + (ay - b_y) ** 2) <= 2.5),
+    n AS (SELECT DISTINCT x.plot_id, x.a_id AS i, y.a_id AS j FROM e x JOIN e y USING (plot_id, b_id)),
+    reach(plot_id, i, j) AS (SELECT plot_id, i, j FROM n UNION SELECT reach.plot_id, reach.i, n.j FROM reach JOIN n ON n.plot_id = reach.plot_id AND n.i = reach.j)
+    SELECT plot_id, i AS a_id, min(j) AS component FROM reach GROUP BY 1, 2""")
+def match_components(spark, d):
+    found = matching.match_components(matching.range_join(*_points(spark, d), 2.5))
+    field = lambda c, k: F.get_json_object(c, f"$.{k}")
+    crowns = found.filter(field("id", "kind") == "c")
+    return crowns.select(field("id", "plot_id").cast("long").alias("plot_id"), field("id", "id").alias("a_id"), field("component", "id").alias("component"))
+
+
 @query()
 def match_pairs(spark, d):
     return r6(matching.match_pairs(matching.range_join(*_points(spark, d), 2.5)).select("plot_id", "a_id", "b_id", "distance"))

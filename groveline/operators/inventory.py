@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Status codes of a live stem.
 LIVE = ("live", "living", "alive", "l", "1")
 FORM_FACTOR, SDI_EXPONENT, SDI_DIAMETER = 0.5, 1.605, 25.0
 # Wood density by species code, and of any other.
@@ -99,7 +100,7 @@ def gini(trees: DataFrame) -> DataFrame:
     ranked = v.withColumn("i", F.row_number().over(Window.partitionBy("plot_id").orderBy("v")))
     n, total = F.count(F.lit(1)), F.sum("v")
     g = 2 * F.sum(F.col("i") * F.col("v")) / (n * F.nullif(total, F.lit(0.0))) - (n + 1) / n
-    return ranked.groupBy("plot_id").agg(F.when(n >= 2, F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), g)), F.lit(0.0))).alias("gini"))
+    return ranked.groupBy("plot_id").agg(F.when((n >= 2) & (total > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), g))).when(n >= 2, 0.0).alias("gini"))
 
 
 def species_composition(trees: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groveline.operators.graph import components
@@ -21,10 +21,14 @@ def range_join(a: DataFrame, b: DataFrame, tolerance: float, keys: tuple[str, ..
     return out.filter(F.col("distance") <= tolerance).drop("_i", "_j")
 
 
-def match_components(pairs: DataFrame) -> DataFrame:
-    """The component (least crown id) of each crown and stem id; ids are texts, crowns 'c:' and stems 's:'."""
-    edges = pairs.select(F.concat(F.lit("c:"), F.col("a_id").cast("string")).alias("a"), F.concat(F.lit("s:"), F.col("b_id").cast("string")).alias("b"))
-    return components(edges)
+def _node(keys: tuple[str, ...], kind: str, id_: str) -> Column:
+    """A text that names a crown ('c') or stem ('s') and, as ids are unique in a plot only, its plot."""
+    return F.to_json(F.struct(F.lit(kind).alias("kind"), *keys, F.col(id_).cast("string").alias("id")))
+
+
+def match_components(pairs: DataFrame, keys: tuple[str, ...] = ("plot_id",)) -> DataFrame:
+    """The component of each crown and stem in the candidate graph, (id, component); ids are the texts of ``_node``."""
+    return components(pairs.select(_node(keys, "c", "a_id").alias("a"), _node(keys, "s", "b_id").alias("b")))
 
 
 def _assign(n: int, m: int, cost: list[list[int | None]]) -> list[int]:
@@ -84,8 +88,8 @@ def _pair(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def match_pairs(pairs: DataFrame, keys: tuple[str, ...] = ("plot_id",)) -> DataFrame:
     """One-to-one pairs, solved in each component of the candidate graph (components are small: stems within reach)."""
-    comp = match_components(pairs)
-    labelled = pairs.withColumn("id", F.concat(F.lit("c:"), F.col("a_id").cast("string"))).join(comp, "id").drop("id")
+    comp = match_components(pairs, keys).withColumnRenamed("id", "_node")
+    labelled = pairs.withColumn("_node", _node(keys, "c", "a_id")).join(comp, "_node").drop("_node")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         return _pair(pdf.sort_values(["a_id", "b_id", "distance"]).reset_index(drop=True))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groveline.operators.graph import components
 
 KEY = ("raster_id", "row", "col")
+# Breaks of the strata and their names.
 STRATA_BREAKS = (0.5, 2.0, 5.0, 15.0, 25.0)
 STRATA = ("ground", "regeneration", "understorey", "midstorey", "canopy", "emergent")
 FOUR = ((-1, 0), (1, 0), (0, -1), (0, 1))
@@ -68,13 +71,17 @@ def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(y, "raster_id").withColumn("aligned", F.when(why.isNull(), True).otherwise(F.raise_error(F.concat(F.lit("rasters differ in "), why)).cast("boolean"))).filter("aligned").select(*a.columns)
 
 
-def combined(a: DataFrame, b: DataFrame, f: Callable[[Column, Column], Column]) -> DataFrame:
-    """Cell by cell; null if either is."""
-    return a.join(b.withColumnRenamed("v", "w"), list(KEY)).select(*KEY, F.when(F.col("v").isNotNull() & F.col("w").isNotNull(), f(F.col("v"), F.col("w"))).alias("v"))
+def combined(a: DataFrame, b: DataFrame, f: Callable[[Column, Column], Column], headers: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Cell by cell; null if either is. A cell that only one of them has raises; ``headers`` are compared by ``aligned``."""
+    if headers:
+        a = a.join(aligned(*headers).select("raster_id"), "raster_id", "left_semi")
+    x, y = a.select(*KEY, "v", F.lit(True).alias("_a")), b.select(*KEY, F.col("v").alias("w"), F.lit(True).alias("_b"))
+    both = F.when(F.col("_a") & F.col("_b"), True).otherwise(F.raise_error(F.lit("rasters differ in shape")).cast("boolean"))
+    return x.join(y, list(KEY), "full").filter(both).select(*KEY, F.when(F.col("v").isNotNull() & F.col("w").isNotNull(), f(F.col("v"), F.col("w"))).alias("v"))
 
 
-def canopy_height(dsm: DataFrame, dtm: DataFrame, floor: float = 0.0) -> DataFrame:
-    return combined(dsm, dtm, lambda s, t: F.greatest(s - t, F.lit(floor)))
+def canopy_height(dsm: DataFrame, dtm: DataFrame, floor: float = 0.0, headers: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    return combined(dsm, dtm, lambda s, t: F.greatest(s - t, F.lit(floor)), headers)
 
 
 def offsets(radius: int, circular: bool = True) -> list[tuple[int, int]]:
@@ -155,28 +162,43 @@ def blocked(cells: DataFrame, threshold: float = 2.0) -> DataFrame:
     return cells.withColumn("blocked", F.col("v").isNull() | (F.col("v") >= threshold))
 
 
+def _across(vert: np.ndarray) -> np.ndarray:
+    """Along one row: the least distance to what lies ``vert`` above or below each column (nan: nothing does), or to either end."""
+    n = len(vert)
+    best = np.minimum(np.arange(n), np.arange(n)[::-1]) + 0.5
+    best = np.fmin(best, vert) ** 2
+    square = np.where(np.isnan(vert), np.inf, vert * vert)
+    for step in range(1, n):
+        aside = (step - 0.5) ** 2
+        if aside >= best.max():  # no column is that far from what it has found
+            break
+        np.minimum(best[step:], square[:-step] + aside, out=best[step:])
+        np.minimum(best[:-step], square[step:] + aside, out=best[:-step])
+    return np.sqrt(best)
+
+
 def distance_field(cells: DataFrame, rasters: DataFrame, threshold: float = 2.0) -> DataFrame:
-    """Distance of each cell centre to the nearest blocked square or the raster's edge, in cells.
+    """Distance of each cell centre to the nearest blocked square or the raster's edge, in map units.
 
-    Pass one finds the vertical gap in each column by two ordered windows; pass two takes, along each
-    row, the least combination with the columns within reach. Reach is bounded by the distance to the
-    raster's edge, and pairs are an equi-join on the row's buckets of that width.
+    Pass one finds the vertical gap in each column by two ordered windows; pass two takes, in each row
+    as a whole, the least combination with other columns, as far aside as any cell of the row still needs.
     """
-    b = blocked(cells, threshold)
+    b = blocked(cells, threshold).join(rasters.select("raster_id", "nrows", "cellsize"), "raster_id")
     col = Window.partitionBy("raster_id", "col").orderBy("row")
     hit = F.when(F.col("blocked"), F.col("row"))
     up, down = F.last(hit, ignorenulls=True).over(col), F.first(hit, ignorenulls=True).over(col.rowsBetween(0, Window.unboundedFollowing))
     gap = F.least(F.col("row") - up, down - F.col("row"))
-    b = b.withColumn("vert", F.when(gap == 0, 0.0).otherwise(gap - 0.5)).join(rasters.select("raster_id", "ncols", "nrows"), "raster_id")
-    edge = F.least(F.col("row") + 0.5, F.col("nrows") - F.col("row") - 0.5, F.col("col") + 0.5, F.col("ncols") - F.col("col") - 0.5)
-    b = b.withColumn("edge", F.least(edge, F.coalesce("vert", edge)))
-    walls = b.filter("vert IS NOT NULL").select("raster_id", "row", F.col("col").alias("wcol"), "vert")
-    reach = F.ceil(F.col("edge")).cast("int")
-    seek = b.filter("NOT blocked").select(*KEY, "edge", F.explode(F.sequence(F.col("col") - reach, F.col("col") + reach)).alias("wcol"))
-    side = F.greatest(F.abs(F.col("wcol") - F.col("col")) - 0.5, F.lit(0.0))
-    near = seek.join(walls, ["raster_id", "row", "wcol"]).groupBy(*KEY).agg(F.min(side * side + F.col("vert") * F.col("vert")).alias("d2"))
-    out = b.select(*KEY, "blocked", "edge").join(near, list(KEY), "left")
-    return out.select(*KEY, F.when(F.col("blocked"), 0.0).otherwise(F.least("edge", F.sqrt("d2"))).alias("distance"))
+    edge = F.least(F.col("row"), F.col("nrows") - 1 - F.col("row")) + 0.5
+    vert = F.when(F.col("blocked"), 0.0).otherwise(F.least(F.coalesce(gap - 0.5, edge), edge))
+    b = b.select(*KEY, "blocked", "cellsize", vert.cast("double").alias("vert"))
+
+    def across(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("col", ignore_index=True)
+        far = np.where(part["blocked"], 0.0, _across(part["vert"].to_numpy(float)))
+        return part[[*KEY, "blocked"]].assign(distance=far * part["cellsize"].iat[0])
+
+    kinds = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in KEY)
+    return b.groupBy("raster_id", "row").applyInPandas(across, f"{kinds}, blocked boolean, distance double")
 
 
 def reflex_corners(cells: DataFrame, rasters: DataFrame, threshold: float = 2.0) -> DataFrame:
@@ -215,26 +237,58 @@ def labelled(open_cells: DataFrame, rasters: DataFrame, connectivity: int = 8) -
     return out.select(*KEY, (F.coalesce("r0", "row").cast("long") * F.col("ncols") + F.coalesce("c0", "col")).alias("label"))
 
 
-def gaps(cells: DataFrame, rasters: DataFrame, threshold: float = 2.0, min_area: float = 25.0, connectivity: int = 8, include_edge: bool = True) -> DataFrame:
-    """Canopy gaps of at least ``min_area``, largest first, without the opening by width."""
+def border_reaching(cells: DataFrame, rasters: DataFrame, threshold: float = 2.0, connectivity: int = 8) -> DataFrame:
+    """Cells (raster_id, row, col) of the components below ``threshold`` that reach the raster's border."""
+    lab = labelled(cells.filter(F.col("v") < threshold), rasters, connectivity).join(rasters.select("raster_id", "nrows", "ncols"), "raster_id")
+    edge = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == F.col("nrows") - 1) | (F.col("col") == F.col("ncols") - 1)
+    reach = lab.groupBy("raster_id", "label").agg(F.bool_or(edge).alias("edge")).filter("edge").drop("edge")
+    return lab.join(reach, ["raster_id", "label"], "left_semi").select(*KEY)
+
+
+def gaps(cells: DataFrame, rasters: DataFrame, threshold: float = 2.0, min_area: float = 25.0, connectivity: int = 8, include_edge: bool = True, min_width: float = 0.0, with_width: bool = False) -> DataFrame:
+    """Canopy gaps of at least ``min_area``, largest first.
+
+    ``min_width`` (map units) first opens the cells below ``threshold`` by a circle of that diameter. A
+    gap touches the edge if the component of unopened cells that it is part of does. ``with_width``
+    adds ``width``: the diameter of the largest circle in the gap's own cells.
+    """
+    from groveline.operators import openings
+
+    if not (0 <= min_area < float("inf") and 0 <= min_width < float("inf")):
+        raise ValueError("min_area and min_width must be finite and not negative")
     low = cells.filter(F.col("v") < threshold)
+    low = openings.opened_cells(cells, rasters, threshold, min_width / 2) if min_width else low
     lab = labelled(low, rasters, connectivity).join(low, list(KEY)).join(rasters.select("raster_id", "nrows", "ncols", "xll", "yll", "cellsize"), "raster_id")
     cs = F.col("cellsize")
-    edge = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == F.col("nrows") - 1) | (F.col("col") == F.col("ncols") - 1)
-    out = lab.groupBy("raster_id", "label").agg(F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) * F.first(cs * cs)).alias("area"), F.avg(F.col("xll") + (F.col("col") + 0.5) * cs).alias("centroid_x"), F.avg(F.col("yll") + (F.col("nrows") - F.col("row") - 0.5) * cs).alias("centroid_y"), F.avg("v").alias("mean_height"), F.max("v").alias("max_height"), F.bool_or(edge).alias("touches_edge"))
+    if min_width:
+        border = border_reaching(cells, rasters, threshold, connectivity).withColumn("edge", F.lit(True))
+        lab = lab.join(border, list(KEY), "left").withColumn("edge", F.coalesce("edge", F.lit(False)))
+    else:
+        lab = lab.withColumn("edge", (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == F.col("nrows") - 1) | (F.col("col") == F.col("ncols") - 1))
+    out = lab.groupBy("raster_id", "label").agg(F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) * F.first(cs * cs)).alias("area"), F.avg(F.col("xll") + (F.col("col") + 0.5) * cs).alias("centroid_x"), F.avg(F.col("yll") + (F.col("nrows") - F.col("row") - 0.5) * cs).alias("centroid_y"), F.avg("v").alias("mean_height"), F.max("v").alias("max_height"), F.bool_or("edge").alias("touches_edge"))
     out = out.filter(F.col("area") >= min_area)
     out = out if include_edge else out.filter("NOT touches_edge")
+    if with_width:
+        wide = openings.widths(lab.join(out, ["raster_id", "label"], "left_semi")).join(rasters.select("raster_id", "cellsize"), "raster_id")
+        out = out.join(wide.select("raster_id", "label", (2 * F.col("radius") * cs).alias("width")), ["raster_id", "label"])
     return out.withColumn("gap_id", F.row_number().over(Window.partitionBy("raster_id").orderBy(F.desc("area"), "label"))).drop("label")
 
 
 def treetop_candidates(cells: DataFrame, rasters: DataFrame, min_height: float = 2.0, base: float = 0.8, slope: float = 0.055) -> DataFrame:
     """Cells of ``min_height`` or more without a strictly higher valid cell within their own search radius.
 
-    Cells are bucketed by the largest radius on the raster, so the search is an equi-join on buckets.
+    A cell that is lower than the maximum of its own 3 x 3 neighbours within reach falls out first, by a
+    scatter; the few local maxima left look for higher cells by an equi-join on the cells in reach.
     """
     v = valid(cells).join(rasters.select("raster_id", "cellsize", "nrows", "ncols"), "raster_id")
     radius = (base + slope * F.greatest("v", F.lit(0.0))) / F.col("cellsize")
     tops = v.filter(F.col("v") >= min_height).withColumn("radius", F.least(radius, (F.col("nrows") + F.col("ncols")).cast("double")))
+    # Most cells have a higher one beside them: those fall out before anything of the size of a window is made.
+    beside = moved(cells, FOUR).groupBy(*KEY).agg(F.max("w").alias("w4"))
+    around = moved(cells, EIGHT).groupBy(*KEY).agg(F.max("w").alias("w8"))
+    tops = tops.join(beside, list(KEY), "left").join(around, list(KEY), "left")
+    taller = lambda w, least: (F.col("radius") >= least) & (F.coalesce(F.col(w), F.lit(float("-inf"))) > F.col("v"))
+    tops = tops.filter(~(taller("w4", 1.0) | taller("w8", 2.0**0.5))).drop("w4", "w8")
     # A higher cell is at most the reach of the lower one away, and only whole offsets within it matter.
     reach = F.floor("radius").cast("int")
     rows = tops.select(*KEY, "v", "radius", F.explode(F.sequence(-reach, reach)).alias("dr"))

@@ -9,10 +9,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groveline.functions.curves import default_params, height, leave_one_out
+from groveline.functions import fitting
+from groveline.functions.curves import default_params, leave_one_out
 from groveline.operators import inventory as inv
 from groveline.operators import raster
 from groveline.plans.profile import Profile
+from groveline.session import cut
 
 INFO, NOTICE, WARNING, CRITICAL = range(4)
 SEVERITIES = ("info", "notice", "warning", "critical")
@@ -31,16 +33,23 @@ class Context:
 
     trees: DataFrame | None
     plots: DataFrame
-    extent: DataFrame | None = None  # plot_id?, xmin, ymin, xmax, ymax: one row
+    extent: DataFrame | None = None  # xmin, ymin, xmax, ymax: one row, or with plot_id a row for each plot
     profile: Profile = field(default_factory=Profile)
     metrics: DataFrame | None = None  # from trees unless given
     cells: DataFrame | None = None  # canopy heights; raster_id is the plot's plot_id
     rasters: DataFrame | None = None  # headers of cells
     match: DataFrame | None = None  # of matching.match_summary
 
+    models: DataFrame | None = None  # curves of the stems, fitted from trees unless given
+
     def __post_init__(self) -> None:
         if self.metrics is None and self.trees is not None:
-            self.metrics = inv.stand_metrics(self.trees, self.plots)
+            self.metrics = cut(inv.stand_metrics(self.trees, self.plots))  # a row for each plot, which six rules read
+
+    def curves(self) -> DataFrame:
+        if self.models is None:
+            self.models = cut(fitting.fit_by_species(self.trees, least=int(self.profile.min_allometry_points)))
+        return self.models
 
 
 def rule(f):
@@ -96,11 +105,10 @@ def canopy_cover(ctx):
 
 @rule
 def large_gaps(ctx):
-    """Gaps as mapped: the opening by ``min_gap_report_width`` is not built."""
     if ctx.cells is None or ctx.rasters is None:
         return []
     p, v = ctx.profile, F.col("area")
-    found = raster.gaps(ctx.cells, ctx.rasters, p.canopy_threshold, min(p.min_gap_report_area, p.max_gap_area))
+    found = raster.gaps(ctx.cells, ctx.rasters, p.canopy_threshold, p.min_gap_area, min_width=p.min_gap_width)
     level = F.when(F.col("touches_edge"), WARNING).otherwise(CRITICAL)
     return [finding(_by_plot(ctx, found).filter(v > p.max_gap_area), "SV011", level, "Large canopy gap", F.concat(F.lit("gap:"), F.col("gap_id")), v, p.max_gap_area)]
 
@@ -133,11 +141,11 @@ def _tree() -> Column:
 
 @rule
 def height_anomalies(ctx):
-    """Residuals against the default curve of the species, scored against the others of the plot and curve."""
+    """Residuals against the species' fitted curve, else the plot's, scored against the others of the plot and curve."""
     if ctx.trees is None:
         return []
     limit = ctx.profile.height_residual_z
-    z = height_residuals(ctx.trees).filter(F.abs("z") > limit)
+    z = fitted_residuals(ctx.trees, ctx.curves()).filter(F.abs("z") > limit)
     return [finding(z, "SV030", F.when(F.abs("z") >= limit + 1, WARNING).otherwise(NOTICE), "Height-diameter outlier", _tree(), F.abs("z"), limit)]
 
 
@@ -149,12 +157,18 @@ def height_residuals(trees: DataFrame) -> DataFrame:
     return leave_one_out(scored, "residual", ["plot_id", "curve"], ["tree_id", "residual", "x", "y"]).drop("curve", "params")
 
 
+def fitted_residuals(trees: DataFrame, models: DataFrame) -> DataFrame:
+    """Live pairs with ``residual`` and its score ``z`` among the stems that share a curve in their plot."""
+    pairs = fitting.with_curves(inv.paired(trees), models).withColumn("residual", F.col("height_m") - fitting.predicted())
+    return leave_one_out(pairs, "residual", ["plot_id", "curve"], ["tree_id", "residual", "x", "y"]).drop("curve", "family", "params")
+
+
 @rule
 def dbh_outliers(ctx):
     if ctx.trees is None:
         return []
-    z = dbh_scores(ctx.trees).filter((F.col("n") >= 5) & (F.abs("z") > ctx.profile.dbh_z))
-    return [finding(z, "SV031", NOTICE, "Diameter outlier", _tree(), F.abs("z"), ctx.profile.dbh_z)]
+    z = dbh_scores(ctx.trees).filter((F.col("n") >= 5) & (F.abs("z") > ctx.profile.dbh_outlier_z))
+    return [finding(z, "SV031", NOTICE, "Diameter outlier", _tree(), F.abs("z"), ctx.profile.dbh_outlier_z)]
 
 
 def dbh_scores(trees: DataFrame) -> DataFrame:
@@ -193,7 +207,13 @@ def coordinates_in_extent(ctx):
     if ctx.trees is None or ctx.extent is None:
         return []
     x, y = F.col("x"), F.col("y")
-    out = ctx.trees.crossJoin(F.broadcast(ctx.extent.limit(1))).filter(~(x.between(F.col("xmin"), F.col("xmax")) & y.between(F.col("ymin"), F.col("ymax"))))
+    trees, sides = ctx.trees.select("plot_id", "tree_id", "x", "y"), ("xmin", "ymin", "xmax", "ymax")
+    if "plot_id" in ctx.extent.columns:
+        held = trees.join(ctx.extent.select("plot_id", *sides), "plot_id")
+    else:  # one for all; several are an error
+        many = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("several extents need a plot_id")).cast("double"))
+        held = trees.crossJoin(F.broadcast(ctx.extent.agg(*(F.coalesce(many, F.max(c)).alias(c) for c in sides))))
+    out = held.filter(~(x.between(F.col("xmin"), F.col("xmax")) & y.between(F.col("ymin"), F.col("ymax"))))
     return [finding(out, "SV043", WARNING, "Coordinate outside raster extent", _tree())]
 
 
@@ -204,7 +224,7 @@ def detection_agreement(ctx):
         return []
     p, subject, bias = ctx.profile, F.lit("detection"), F.abs("height_bias_m")
     below = lambda name, code, title, low: finding(ctx.match.filter(F.col(name) < low), code, WARNING, title, subject, F.col(name), low)
-    return [below("recall", "SV050", "Low detection recall", p.min_detection_recall), below("precision", "SV051", "Low detection precision", p.min_detection_precision),
+    return [below("recall", "SV050", "Low detection recall", p.min_recall), below("precision", "SV051", "Low detection precision", p.min_precision),
             finding(ctx.match.filter(bias > p.max_height_bias_m), "SV052", WARNING, "Systematic height bias", subject, bias, p.max_height_bias_m)]
 
 
@@ -216,3 +236,12 @@ def inspect(ctx: Context, rules=None) -> DataFrame:
 
 def summary(findings: DataFrame) -> DataFrame:
     return findings.groupBy("plot_id", "severity").agg(F.count(F.lit(1)).alias("findings"))
+
+
+def worst(findings: DataFrame) -> DataFrame:
+    """The highest severity of each plot that has findings."""
+    return findings.groupBy("plot_id").agg(F.max("severity").alias("severity"))
+
+
+def at_or_above(findings: DataFrame, level: str | int) -> DataFrame:
+    return findings.filter(F.col("severity") >= (severity(level) if isinstance(level, str) else level))

@@ -195,10 +195,10 @@ def distance_field(cells: DataFrame, rasters: DataFrame, threshold: float = 2.0)
     def across(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("col", ignore_index=True)
         far = np.where(part["blocked"], 0.0, _across(part["vert"].to_numpy(float)))
-        return part[[*KEY, "blocked"]].assign(distance=far * part["cellsize"].iat[0])
+        return part[list(KEY)].assign(distance=far * part["cellsize"].iat[0])
 
     kinds = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in KEY)
-    return b.groupBy("raster_id", "row").applyInPandas(across, f"{kinds}, blocked boolean, distance double")
+    return b.groupBy("raster_id", "row").applyInPandas(across, f"{kinds}, distance double")
 
 
 def reflex_corners(cells: DataFrame, rasters: DataFrame, threshold: float = 2.0) -> DataFrame:

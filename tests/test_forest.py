@@ -241,3 +241,21 @@ def test_extents_by_plot(spark):
 def test_gini_of_nothing_is_zero(spark):
     trees = _trees(spark, [(str(i), 1, "X", "live", 1e-170, 1.0, 0.0, 0.0) for i in range(3)])
     assert inv.gini(trees).first().gini == 0.0
+
+
+@pytest.mark.parametrize("block", [1 << 18, 7])
+def test_components_in_one_block_or_several(spark, monkeypatch, block):
+    from groveline.operators import graph
+
+    monkeypatch.setattr(graph, "BLOCK", block)
+    rnd = random.Random(4)
+    edges = [(rnd.randrange(40), rnd.randrange(40)) for _ in range(30)]
+    top = list(range(40))
+    for _ in range(40):
+        for a, b in edges:
+            top[a] = top[b] = min(top[a], top[b])
+    want = sorted((i, top[i]) for i in {x for a, b in edges if a != b for x in (a, b)})
+    plain = spark.createDataFrame(edges, "a int, b int")
+    assert sorted(tuple(r) for r in graph.components(plain).collect()) == want
+    nested = plain.selectExpr("named_struct('r', 1, 'c', a) AS a", "named_struct('r', 1, 'c', b) AS b")
+    assert sorted((r.id.c, r.component.c) for r in graph.components(nested).collect()) == want

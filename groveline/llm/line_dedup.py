@@ -133,12 +133,12 @@ def _packed(n: int):
         packer = Packer(n)
         for batch in slices(batches, "text"):
             every = {line_id(x): x for t in batch.column(0).to_pylist() for x in dict.fromkeys(lines_of(t)) if x.strip(_BLANK)}
-            fresh = [x for i, x in every.items() if i not in seen]
+            fresh = {x: i for i, x in every.items() if i not in seen}
             seen = seen if len(seen) < SEEN else set()
             seen.update(every)
-            for lines in _parts(fresh):
+            for lines in _parts(list(fresh)):
                 low, of = _shingles(lines)
-                yield from packer.add(_bands(_signatures(low, of, len(lines))), np.array([line_id(x) for x in lines], np.int64))
+                yield from packer.add(_bands(_signatures(low, of, len(lines))), np.array([fresh[x] for x in lines], np.int64))
         yield packer.flush()
 
     return pack
@@ -147,17 +147,17 @@ def _packed(n: int):
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, n, bitmap and the line itself of the wanted lines; columns text, wanted (ids)."""
     for batch in slices(batches, "text"):
-        found: dict[int, str] = {}
+        found: dict[str, int] = {}
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             wanted = set(wanted)
             for line in dict.fromkeys(lines_of(text)):
                 if line.strip(_BLANK) and (own := line_id(line)) in wanted:
-                    found[own] = line
-        for lines in _parts(list(found.values()), 1 << 17):
+                    found[line] = own
+        for lines in _parts(list(found), 1 << 17):
             low, of = _shingles(lines)
             n, odd = _parity(low, of, len(lines))
             lists = pa.FixedSizeListArray.from_arrays(pa.array(odd.reshape(-1)), odd.shape[1]).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([line_id(x) for x in lines], pa.int64()), pa.array(n, pa.int64()), lists, pa.array(lines, pa.string())], names=["id", "n", "odd", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array([found[x] for x in lines], pa.int64()), pa.array(n, pa.int64()), lists, pa.array(lines, pa.string())], names=["id", "n", "odd", "body"])
 
 
 def _set(line: str) -> set[str]:

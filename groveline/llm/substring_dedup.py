@@ -148,8 +148,11 @@ class FingerprintIndex:
         keys.write.bucketBy(self.buckets, "low", "high").sortBy("low", "high").option("path", path).saveAsTable(name)
         self.tables[path] = name
 
-    def add(self, windows: DataFrame) -> DataFrame:
-        """Merge-join a batch (low, high, doc_id; later than all before it) and absorb it; returns (doc_id, low, high) of its repeats."""
+    def add(self, windows: DataFrame, absorb: bool = True) -> DataFrame:
+        """Merge-join a batch (low, high, doc_id; later than all before it) and absorb it; returns (doc_id, low, high) of its repeats.
+
+        ``absorb`` may be false for a batch after which nothing comes: its run would never be read.
+        """
         seen = windows.groupBy("low", "high").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         known = F.lit(False)
         for k, name in enumerate(self.tables.values()):
@@ -157,7 +160,8 @@ class FingerprintIndex:
             known = known | F.coalesce(f"in{k}", F.lit(False))
         path = scratch(self.spark)
         keys = cut(seen.select("low", "high", "first", "last", known.alias("seen")), path=path)
-        self._write(keys.filter(~F.col("seen")))
+        if absorb:
+            self._write(keys.filter(~F.col("seen")))
         release(self.spark)
         if len(self.tables) > self.fanout:
             self.compact()
@@ -216,8 +220,9 @@ def substring_dedup(docs: DataFrame, batches: int = 3, fanout: int = 2, root: st
     windows = cut(indexed.mapInArrow(_fingerprints, "low long, high long, doc_id long").withColumn("batch", batch), partition_by=("batch",), path=path)
     release(spark)
     index, hits = FingerprintIndex(spark, fanout, root), None
-    for b in range(len(set(edges)) + 1 if edges else 1):
-        found = index.add(windows.filter(F.col("batch").isin([v for v in _levels(edges, b)])).drop("batch"))
+    rounds = len(set(edges)) + 1
+    for b in range(rounds):
+        found = index.add(windows.filter(F.col("batch").isin(_levels(edges, b))).drop("batch"), root is not None or b + 1 < rounds)
         hits = found if hits is None else hits.unionByName(found)
         for v in _levels(edges, b):
             discard(spark, f"{path}/batch={v}")

@@ -44,8 +44,11 @@ def _shingles(column: pa.Array):
     if len(short):
         whole = np.concatenate([W.grams(words[edges[d] : edges[d + 1]], int(edges[d + 1] - edges[d])) for d in short])
         hashes, of = np.concatenate([hashes, whole]), np.concatenate([of, short])
-    order = np.lexsort((hashes, of))
-    hashes, of = hashes[order], of[order]
+        order = np.argsort(of, kind="stable")
+        hashes, of = hashes[order], of[order]
+    bounds = np.searchsorted(of, np.arange(len(offsets))).tolist()
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        hashes[a:b].sort()
     if len(hashes):
         new = np.ones(len(hashes), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])

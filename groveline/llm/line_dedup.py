@@ -87,11 +87,13 @@ def _signatures(low: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
 
 def _parity(low: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Size of each line's set, and the parity bitmap of its members."""
-    order = np.lexsort((low, of))
-    low, of = low[order], of[order]
-    new = np.ones(len(low), bool)
-    new[1:] = (low[1:] != low[:-1]) | (of[1:] != of[:-1])
-    return np.bincount(of[new], minlength=n), parity(low[new], of[new], n, BITS)
+    # Sorted as one number, line before hash; a part has fewer than 2**24 lines, so the upper 40 bits of the hash are always there.
+    shift = np.uint64(max(1, (n - 1).bit_length()))
+    key = (of.astype(np.uint64) << (np.uint64(64) - shift)) | (low >> shift)
+    key.sort()
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+    of = (key >> (np.uint64(64) - shift)).astype(np.int64)
+    return np.bincount(of, minlength=n), parity((key << shift) >> np.uint64(24), of, n, BITS)
 
 
 def _bands(bins: np.ndarray) -> np.ndarray:
@@ -172,6 +174,38 @@ def similar(a: set[str], b: set[str]) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
+class Shingles:
+    """A line's distinct shingles as sorted numbers, 12 bits a code point; None where a code point has more bits."""
+
+    def __init__(self, line: str):
+        self.line, self.codes = line, None
+        points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        if len(points) and points.max() >> np.uint64(12):
+            return
+        n = min(len(points), SHINGLE)
+        # A line shorter than a shingle differs from any shingle by its length in the upper bits.
+        codes = np.zeros(len(points) - n + 1, np.uint64)
+        for i in range(n):
+            codes = (codes << np.uint64(12)) | points[i : len(points) - n + 1 + i]
+        if n < SHINGLE:
+            codes |= np.uint64(n << 60)
+        codes.sort()
+        self.codes = codes[np.concatenate([[True], codes[1:] != codes[:-1]])]
+
+
+def alike(a: Shingles, b: Shingles) -> bool:
+    """``similar``, exactly, by the numbers of the shingles where both lines have them."""
+    if a.codes is None or b.codes is None:
+        return similar(_set(a.line), _set(b.line))
+    a, b = a.codes, b.codes
+    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+        return False
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    both = int(np.count_nonzero(a[at] == b))
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns doc_id, text, found (line, its component if it goes by that here, else null: it is kept elsewhere), and any carried."""
     for batch in slices(batches, "text"):
@@ -222,7 +256,7 @@ def line_dedup(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
         return found.dropDuplicates(["id"]) if repeated else found
 
     packed = known.select("text").mapInArrow(_packed(parts(spark)), PACKED)
-    linked = link(packed, fetch, sifts=[(BITS // 64, most_bits(BITS, PERCENT))], percent=PERCENT, prepare=_set, similar=similar)
+    linked = link(packed, fetch, sifts=[(BITS // 64, most_bits(BITS, PERCENT))], percent=PERCENT, prepare=Shingles, similar=alike)
     grouped = linked.withColumnRenamed("id", "line").join(firsts, "line")
     owners = grouped.groupBy("component").agg(F.min("first").alias("owner"))
     grouped = cut(grouped.join(owners, "component").select("line", "component", "owner"))

@@ -4,13 +4,13 @@
    numpy and keeps the bands that several ids share. A band that is crowded within one sketching task
    is sent once by it: its other ids are bound to that one there and then, so no task ever gathers a
    great group.
-2. Every member is tried against one other: the least id of all its buckets. Links make components.
-3. Buckets of several components are open. While trying all that is left there would cost much more
-   than the rows it has, members outside their bucket's main component (that of a random member, so
-   most often the largest) are tried against random members of such.
-4. What is left in open buckets, members outside the main component against all of another one, is
+2. Buckets of several components are open; at first each id is its own. While trying all that is left
+   there would cost much more than the rows it has, members outside their bucket's main component
+   (that of a random member, so most often the largest) are tried against random members of such.
+   Links make components.
+3. What is left in open buckets, members outside the main component against all of another one, is
    joined; set sizes and sketches are part of the join condition, so a dissimilar pair is no row.
-   After that every pair of a bucket is linked, in one component, or tried: nothing is capped.
+   One pair of each id is confirmed first, then those still in different components. After that every pair of a bucket is linked, in one component, or tried: nothing is capped.
 
 Links are always confirmed on the full sets.
 """
@@ -36,6 +36,8 @@ Sifts = list[tuple[int, Limit]]
 HELD, EVERY, CROWDED = 1 << 20, 11, 8
 #: Tries of a member in a round of random tries; joined pairs a row above which a round is worth while, and the share of them that the one before must not have left.
 TRIES, WORTH, LESS = 6, 16, 0.6
+#: Tries of a member that the sketches let through and that are confirmed in a round; what they leave unlinked stays open.
+CONFIRMED = 3
 #: Edges that one task contracts; more are parted.
 BLOCK = 1 << 20
 PACKED = "part int, bound boolean, block binary"
@@ -92,8 +94,8 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.bool_()), pa.array(rows[2], pa.binary())], names=["part", "bound", "block"])
 
 
-def _shared(blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Band, id and the band's least id, for bands with several ids."""
+def _shared(blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Band and id, for bands with several ids."""
     pairs = [b.reshape(2, -1) for b in blocks]
     band, own = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
     order = np.argsort(band)
@@ -110,26 +112,25 @@ def _shared(blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     band, own = band[new], own[new]
     first = np.ones(len(band), bool)
     first[1:] = band[1:] != band[:-1]
-    least = own[np.maximum.accumulate(np.where(first, np.arange(len(band)), 0))]
     several = ~first
     several[:-1] |= ~first[1:]
-    return band[several], own[several], least[several]
+    return band[several], own[several]
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of blocks sorted by part: rows of the bands that several ids share. One part is held at a time."""
-    names, held, last = ["band", "id", "least"], [], None
+    names, held, last = ["band", "id"], [], None
     rows = lambda x: pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in x], names=names)
     for batch in batches:
         for part, bound, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             values = np.frombuffer(block, np.int64)
             if bound:
-                yield rows(values.reshape(3, -1))
+                band, own, least = values.reshape(3, -1)
+                yield rows((band, own))
                 # The one that was sent may meet nobody else, so it is told here as well.
-                band, _, least = values.reshape(3, -1)
                 new = np.ones(len(band), bool)
                 new[1:] = band[1:] != band[:-1]
-                yield rows((band[new], least[new], least[new]))
+                yield rows((band[new], least[new]))
                 continue
             if part != last and held:
                 yield rows(_shared(held))
@@ -235,7 +236,7 @@ def link(packed: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, sifts: S
     spark = packed.sparkSession
     at = {k: scratch(spark) for k in ("rows", "bodies")}
     blocks = packed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part")
-    rows = cut(blocks.mapInArrow(_buckets, "band long, id long, least long"), path=at["rows"])
+    rows = cut(blocks.mapInArrow(_buckets, "band long, id long"), path=at["rows"])
     release(spark)
     bodies = cut(fetch(rows.select("id").distinct()), path=at["bodies"])
     release(spark)
@@ -254,8 +255,8 @@ def link(packed: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, sifts: S
     def sifted(pairs: DataFrame) -> DataFrame:
         return cut(pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").filter(near).select("a", "b"))
 
-    known = components(confirmed(rows.groupBy("id").agg(F.min("least").alias("b")).filter("b < id").select(F.col("id").alias("a"), "b")))
-    merged = lambda edges: components(edges.union(known.select("id", "component")))
+    known = None
+    merged = lambda edges: components(edges if known is None else edges.union(known.select("id", "component")))
     turn, before = 0, float("inf")
     while True:
         path = scratch(spark)
@@ -265,12 +266,13 @@ def link(packed: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, sifts: S
         turn, before = turn + 1, cost
         tries = open_.filter("c <> main").groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("rep", F.lit(turn)).alias("k"), "rep"))), 1, TRIES).alias("reps"))
         tries = tries.select(F.col("id").alias("a"), F.explode("reps").alias("r")).select("a", F.col("r.rep").alias("b"))
-        known = merged(confirmed(sifted(tries)))
+        hopeful = sifted(tries).groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("b", F.lit(turn)).alias("k"), "b"))), 1, CONFIRMED).alias("bs"))
+        known = merged(confirmed(cut(hopeful.select("a", F.explode("bs").alias("r")).select("a", F.col("r.b").alias("b")))))
         discard(spark, path)
         release(spark)
     if not size:
         discard(spark, at["rows"])
-        return known
+        return spark.createDataFrame([], "id long, component long") if known is None else known
     full = open_.join(sketches, "id")
     x = full.filter("c <> main").select("band", *(F.col(k).alias(f"x{k}") for k in ("id", "n", "odd", "c")))
     y = full.select("band", *(F.col(k).alias(f"y{k}") for k in ("id", "n", "odd", "c")), (F.col("c") == F.col("main")).alias("ymain"))
@@ -278,16 +280,23 @@ def link(packed: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, sifts: S
     rest = x.join(y, (x["band"] == y["band"]) & fresh & _alike("x", "y", sifts, percent))
     rest = cut(rest.select(F.col("xid").alias("a"), F.col("yid").alias("b")).distinct())
     release(spark)
+    # One pair of each id first: what those links connect needs no other.
+    first = rest.groupBy("a").agg(F.min("b").alias("b"))
+    known = merged(confirmed(first))
+    own = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"{c}c"))
+    rest = rest.join(first.withColumnRenamed("b", "tried"), "a").filter("b <> tried").select("a", "b").join(own("a"), "a", "left").join(own("b"), "b", "left")
+    rest = cut(rest.filter("coalesce(ac, a) <> coalesce(bc, b)").select("a", "b"))
     out = known if rest.isEmpty() else merged(confirmed(rest))
     for gone in (path, at["rows"], at["bodies"]):
         discard(spark, gone)
     return out
 
 
-def _open(rows: DataFrame, known: DataFrame, turn: int, path: str) -> tuple[DataFrame, int, int]:
+def _open(rows: DataFrame, known: DataFrame | None, turn: int, path: str) -> tuple[DataFrame, int, int]:
     """Members (band, id, c) of the buckets with several components, a random member ``rep`` of each bucket and its component ``main``,
     so most often the largest one; written at ``path``. Also the pairs that joining them all could make, and how many members."""
-    own = rows.select("band", "id").join(known, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
+    component = F.coalesce("component", "id") if known is not None else F.col("id")
+    own = (rows if known is None else rows.join(known, "id", "left")).select("band", "id", component.alias("c"))
     pick = F.min(F.struct(F.xxhash64("id", "band", F.lit(turn)).alias("h"), F.col("id").alias("rep"), F.col("c").alias("main")))
     mixed = own.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("all"), pick.alias("pick")).filter("low < high")
     out = cut(own.join(mixed.select("band", "all", "pick.rep", "pick.main"), "band"), path=path)

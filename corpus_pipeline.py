@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groveline.llm._shared import cut, read_table
-from groveline.llm.byte_bpe import decode, encode
+from groveline.llm.byte_bpe import round_trip
 from groveline.llm.decontaminate import decontaminate
 from groveline.llm.line_dedup import line_dedup
 from groveline.llm.minhash_dedup import minhash_dedup
@@ -49,7 +49,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document; ``exact`` tells that they decode to its text."""
-    out = decode(encode(docs.select("doc_id", "lang", "source", "text")))
+    out = round_trip(docs.select("doc_id", "lang", "source", "text"))
     exact = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return out.select("doc_id", "lang", "source", (F.length("token_ids") / 4).cast("long").alias("n_tokens"), "token_ids", exact.alias("exact"))
 

@@ -4,13 +4,16 @@
    numpy and keeps the bands that several ids share. A band that is crowded within one sketching task
    is sent once by it: its other ids are bound to that one there and then, so no task ever gathers a
    great group.
-2. Buckets of several components are open; at first each id is its own. While trying all that is left
-   there would cost much more than the rows it has, members outside their bucket's main component
-   (that of a random member, so most often the largest) are tried against random members of such.
-   Links make components.
-3. What is left in open buckets, members outside the main component against all of another one, is
+2. Every member is tried against the least id of each of its buckets. Links make components. That is
+   all there is to a bucket of two; of the larger ones, those of several components are open.
+3. While trying all that is left there would cost much more than the rows it has, members outside
+   their bucket's main component (that of a random member, so most often the largest) are tried
+   against random members of such.
+4. What is left in open buckets, members outside the main component against all of another one, is
    joined; set sizes and sketches are part of the join condition, so a dissimilar pair is no row.
-   One pair of each id is confirmed first, then those still in different components. After that every pair of a bucket is linked, in one component, or tried: nothing is capped.
+   While these are more than the rows there, one pair for each two components is confirmed at a time,
+   as long as that leaves many fewer; then all that lie between components. After that every pair of
+   a bucket is linked, in one component, or tried: nothing is capped.
 
 Links are always confirmed on the full sets.
 """
@@ -40,7 +43,9 @@ TRIES, WORTH, LESS = 6, 16, 0.6
 CONFIRMED = 3
 #: Edges that one task contracts; more are parted.
 BLOCK = 1 << 20
-PACKED = "part int, bound boolean, block binary"
+PACKED = "part int, kind byte, block binary"
+#: Kinds of block: (band, id); ids bound to the least one of a crowded band; (band, id) of such least ones, whose bands have others elsewhere.
+PLAIN, BOUND, LEAST = 0, 1, 2
 
 
 def parts(spark: SparkSession) -> int:
@@ -78,24 +83,30 @@ class Packer:
                 least = own[at][np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
                 bound = np.stack([band[at].view(np.int64), own[at], least])[:, ~first]
                 rows[0].append(int(bound[1].sum() % self.n))
-                rows[1].append(True)
+                rows[1].append(BOUND)
                 rows[2].append(bound.tobytes())
-                alone = np.ones(len(band), bool)
+                alone, kinds = np.ones(len(band), bool), np.zeros(len(band), bool)
                 alone[at[~first]] = False
+                kinds[at[first]] = True
+                self._deal(rows, band[kinds], own[kinds], LEAST)
+                alone &= ~kinds
                 band, own = band[alone], own[alone]
-            part = (band >> np.uint64(40)) % np.uint64(self.n)
-            order = np.argsort(part.astype(np.uint16) if self.n < 65536 else part, kind="stable")
-            band, own, edges = band[order], own[order], np.searchsorted(part[order], np.arange(self.n + 1))
-            for k in np.flatnonzero(np.diff(edges)).tolist():
-                a, b = edges[k], edges[k + 1]
-                rows[0].append(k)
-                rows[1].append(False)
-                rows[2].append(band[a:b].tobytes() + own[a:b].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.bool_()), pa.array(rows[2], pa.binary())], names=["part", "bound", "block"])
-
-
-def _shared(blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Band and id, for bands with several ids."""
+            self._deal(rows, band, own, PLAIN)
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int8()), pa.array(rows[2], pa.binary())], names=["part", "kind", "block"])
+
+    def _deal(self, rows: tuple[list, list, list], band: np.ndarray, own: np.ndarray, kind: int) -> None:
+        part = (band >> np.uint64(40)) % np.uint64(self.n)
+        order = np.argsort(part.astype(np.uint16) if self.n < 65536 else part, kind="stable")
+        band, own, edges = band[order], own[order], np.searchsorted(part[order], np.arange(self.n + 1))
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            a, b = edges[k], edges[k + 1]
+            rows[0].append(k)
+            rows[1].append(kind)
+            rows[2].append(band[a:b].tobytes() + own[a:b].tobytes())
+
+
+def _shared(blocks: list[np.ndarray], crowded: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Band, id, the band's least id and whether these are two and all, for bands with several ids; ``crowded`` bands have more elsewhere."""
     pairs = [b.reshape(2, -1) for b in blocks]
     band, own = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
     order = np.argsort(band)
@@ -110,35 +121,42 @@ def _shared(blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(band), bool)
     new[1:] = (band[1:] != band[:-1]) | (own[1:] != own[:-1])
     band, own = band[new], own[new]
-    first = np.ones(len(band), bool)
-    first[1:] = band[1:] != band[:-1]
-    several = ~first
-    several[:-1] |= ~first[1:]
-    return band[several], own[several]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(band)), bool), band[1:] != band[:-1]]))
+    sizes = np.diff(np.append(starts, len(band)))
+    least, two = np.repeat(own[starts], sizes), np.repeat(sizes == 2, sizes)
+    if crowded:
+        two &= ~np.isin(band, np.concatenate(crowded))
+    several = np.repeat(sizes > 1, sizes)
+    return band[several], own[several], least[several], two[several]
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of blocks sorted by part: rows of the bands that several ids share. One part is held at a time."""
-    names, held, last = ["band", "id"], [], None
-    rows = lambda x: pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in x], names=names)
+    names, held, crowded, last = ["band", "id", "least", "two"], [], [], None
+
+    def rows(band: np.ndarray, own: np.ndarray, least: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in (band, own, least)), pa.array(two, pa.bool_())], names=names)
+
     for batch in batches:
-        for part, bound, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for part, kind, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             values = np.frombuffer(block, np.int64)
-            if bound:
+            if kind == BOUND:
                 band, own, least = values.reshape(3, -1)
-                yield rows((band, own))
+                yield rows(band, own, least, np.zeros(len(band), bool))
                 # The one that was sent may meet nobody else, so it is told here as well.
                 new = np.ones(len(band), bool)
                 new[1:] = band[1:] != band[:-1]
-                yield rows((band[new], least[new]))
+                yield rows(band[new], least[new], least[new], np.zeros(int(new.sum()), bool))
                 continue
             if part != last and held:
-                yield rows(_shared(held))
-                held = []
+                yield rows(*_shared(held, crowded))
+                held, crowded = [], []
             last = part
             held.append(values)
+            if kind == LEAST:
+                crowded.append(values[: len(values) // 2])
     if held:
-        yield rows(_shared(held))
+        yield rows(*_shared(held, crowded))
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +254,7 @@ def link(packed: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, sifts: S
     spark = packed.sparkSession
     at = {k: scratch(spark) for k in ("rows", "bodies")}
     blocks = packed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part")
-    rows = cut(blocks.mapInArrow(_buckets, "band long, id long"), path=at["rows"])
+    rows = cut(blocks.mapInArrow(_buckets, "band long, id long, least long, two boolean"), path=at["rows"])
     release(spark)
     bodies = cut(fetch(rows.select("id").distinct()), path=at["bodies"])
     release(spark)
@@ -255,8 +273,9 @@ def link(packed: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, sifts: S
     def sifted(pairs: DataFrame) -> DataFrame:
         return cut(pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").filter(near).select("a", "b"))
 
-    known = None
-    merged = lambda edges: components(edges if known is None else edges.union(known.select("id", "component")))
+    known = components(confirmed(sifted(rows.filter("least < id").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct())))
+    merged = lambda edges: components(edges.union(known.select("id", "component")))
+    rows = rows.filter("NOT two").select("band", "id")
     turn, before = 0, float("inf")
     while True:
         path = scratch(spark)
@@ -270,33 +289,37 @@ def link(packed: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, sifts: S
         known = merged(confirmed(cut(hopeful.select("a", F.explode("bs").alias("r")).select("a", F.col("r.b").alias("b")))))
         discard(spark, path)
         release(spark)
-    if not size:
-        discard(spark, at["rows"])
-        return spark.createDataFrame([], "id long, component long") if known is None else known
     full = open_.join(sketches, "id")
     x = full.filter("c <> main").select("band", *(F.col(k).alias(f"x{k}") for k in ("id", "n", "odd", "c")))
     y = full.select("band", *(F.col(k).alias(f"y{k}") for k in ("id", "n", "odd", "c")), (F.col("c") == F.col("main")).alias("ymain"))
     fresh = (F.col("xc") != F.col("yc")) & (F.col("ymain") | (F.col("xid") < F.col("yid")))
     rest = x.join(y, (x["band"] == y["band"]) & fresh & _alike("x", "y", sifts, percent))
-    rest = cut(rest.select(F.col("xid").alias("a"), F.col("yid").alias("b")).distinct())
-    release(spark)
-    # One pair of each id first: what those links connect needs no other.
-    first = rest.groupBy("a").agg(F.min("b").alias("b"))
-    known = merged(confirmed(first))
-    own = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"{c}c"))
-    rest = rest.join(first.withColumnRenamed("b", "tried"), "a").filter("b <> tried").select("a", "b").join(own("a"), "a", "left").join(own("b"), "b", "left")
-    rest = cut(rest.filter("coalesce(ac, a) <> coalesce(bc, b)").select("a", "b"))
-    out = known if rest.isEmpty() else merged(confirmed(rest))
-    for gone in (path, at["rows"], at["bodies"]):
-        discard(spark, gone)
-    return out
-
-
-def _open(rows: DataFrame, known: DataFrame | None, turn: int, path: str) -> tuple[DataFrame, int, int]:
+    rest = cut(rest.select(F.col("xid").alias("a"), F.col("yid").alias("b"), F.least("xc", "yc").alias("low"), F.greatest("xc", "yc").alias("high")).distinct()) if size else None
+    discard(spark, path)
+    discard(spark, at["rows"])
+    left = rest.count() if size else 0
+    while left > size:
+        # One pair for each two components first: what those links connect needs no other.
+        first = cut(rest.groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"))
+        known = merged(confirmed(first))
+        own = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"{c}c"))
+        other = rest.join(first, ["a", "b"], "left_anti").select("a", "b").join(own("a"), "a", "left").join(own("b"), "b", "left")
+        other = other.select("a", "b", F.coalesce("ac", "a").alias("ac"), F.coalesce("bc", "b").alias("bc")).filter("ac <> bc")
+        rest, before = cut(other.select("a", "b", F.least("ac", "bc").alias("low"), F.greatest("ac", "bc").alias("high"))), left
+        left = rest.count()
+        release(spark)
+        if left > LESS * before:
+            break
+    if left:
+        known = merged(confirmed(rest.select("a", "b")))
+    discard(spark, at["bodies"])
+    return known
+
+
+def _open(rows: DataFrame, known: DataFrame, turn: int, path: str) -> tuple[DataFrame, int, int]:
     """Members (band, id, c) of the buckets with several components, a random member ``rep`` of each bucket and its component ``main``,
     so most often the largest one; written at ``path``. Also the pairs that joining them all could make, and how many members."""
-    component = F.coalesce("component", "id") if known is not None else F.col("id")
-    own = (rows if known is None else rows.join(known, "id", "left")).select("band", "id", component.alias("c"))
+    own = rows.join(known, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
     pick = F.min(F.struct(F.xxhash64("id", "band", F.lit(turn)).alias("h"), F.col("id").alias("rep"), F.col("c").alias("main")))
     mixed = own.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("all"), pick.alias("pick")).filter("low < high")
     out = cut(own.join(mixed.select("band", "all", "pick.rep", "pick.main"), "band"), path=path)

@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,26 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/groveline/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def tidy(spark: SparkSession):
+    """Shuffle files of what is written meanwhile go as soon as it is written, not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def cut(df: DataFrame, *, partition_by: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
     """Write ``df`` to a scratch table and read it again: lineage ends there, and a lost executor loses nothing."""
     spark, path = df.sparkSession, path or scratch(df.sparkSession)
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    with tidy(spark):
+        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

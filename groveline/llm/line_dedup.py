@@ -248,7 +248,7 @@ def line_dedup(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     places = cut(known.mapInArrow(_places, "line long, doc_id long"))
     firsts = cut(places.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
     release(spark)
-    repeated = repeats(known, "doc_id")
+    repeated = repeats(docs.filter("doc_id IS NOT NULL"), "doc_id")
 
     def fetch(ids: DataFrame) -> DataFrame:
         wanted = firsts.join(ids.withColumnRenamed("id", "line"), "line").groupBy(F.col("first").alias("doc_id")).agg(F.collect_set("line").alias("wanted"))

@@ -444,3 +444,39 @@ def test_one_worker_encodes_and_decodes(spark, rows):
     assert bpe.memory and bpe.pairs
     bpe.forget()
     assert not (bpe.memory or bpe.older or bpe.pairs)
+
+
+def test_written_shuffles_leave_no_files(spark):
+    """Shuffle files of a scratch table go once it is written, whether or not the driver collects its garbage."""
+    import time
+
+    from groveline.llm import _shared
+
+    files = lambda: sum(1 for _ in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if "shuffle_" in _.getName())
+    before, frame_ = files(), spark.range(5000).repartition(7, "id")
+    out = _shared.cut(frame_)
+    end = time.time() + 20
+    while files() > before and time.time() < end:
+        time.sleep(0.1)
+    assert files() <= before and out.count() == 5000
+
+
+def test_pairs_grow_with_lines(spark, monkeypatch):
+    """A group of n near copies gives pairs in proportion to n, not to its square."""
+    from groveline.llm import _links
+
+    cut, pairs = _links.cut, []
+
+    def counted(df, **more):
+        out = cut(df, **more)
+        if {"a", "b"} <= set(df.columns):
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(_links, "cut", counted)
+    rnd = random.Random(6)
+    base = [f"{rnd.choice(('alpha', 'beta', 'gamma'))}{k}" for k in range(40)]
+    rows = [(i, " ".join([*base[: i % 40], f"x{i}", *base[i % 40 + 1 :]])) for i in range(200)]
+    out = line_dedup.line_dedup(frame(spark, rows)).collect()
+    assert sum(r.n_removed for r in out) == 199
+    assert pairs and max(pairs) <= 10 * len(rows)

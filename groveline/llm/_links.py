@@ -289,12 +289,16 @@ def link(packed: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, sifts: S
         known = merged(confirmed(cut(hopeful.select("a", F.explode("bs").alias("r")).select("a", F.col("r.b").alias("b")))))
         discard(spark, path)
         release(spark)
-    full = open_.join(sketches, "id")
-    x = full.filter("c <> main").select("band", *(F.col(k).alias(f"x{k}") for k in ("id", "n", "odd", "c")))
-    y = full.select("band", *(F.col(k).alias(f"y{k}") for k in ("id", "n", "odd", "c")), (F.col("c") == F.col("main")).alias("ymain"))
+    # A pair that shares several open buckets is a row in the first of them only.
+    own = open_.groupBy("id").agg(F.first("c").alias("c"), F.collect_set(F.struct("band", "main")).alias("at"))
+    full = own.join(sketches, "id").select("id", "n", "odd", "c", F.col("at.band").alias("bands"), F.explode("at").alias("o")).select("id", "n", "odd", "c", "bands", "o.band", "o.main")
+    kept = ("id", "n", "odd", "c", "bands")
+    x = full.filter("c <> main").select("band", *(F.col(k).alias(f"x{k}") for k in kept))
+    y = full.select("band", *(F.col(k).alias(f"y{k}") for k in kept), (F.col("c") == F.col("main")).alias("ymain"))
     fresh = (F.col("xc") != F.col("yc")) & (F.col("ymain") | (F.col("xid") < F.col("yid")))
-    rest = x.join(y, (x["band"] == y["band"]) & fresh & _alike("x", "y", sifts, percent))
-    rest = cut(rest.select(F.col("xid").alias("a"), F.col("yid").alias("b"), F.least("xc", "yc").alias("low"), F.greatest("xc", "yc").alias("high")).distinct()) if size else None
+    once = x["band"] == F.array_min(F.array_intersect("xbands", "ybands"))
+    rest = x.join(y, (x["band"] == y["band"]) & fresh & _alike("x", "y", sifts, percent) & once)
+    rest = cut(rest.select(F.col("xid").alias("a"), F.col("yid").alias("b"), F.least("xc", "yc").alias("low"), F.greatest("xc", "yc").alias("high"))) if size else None
     discard(spark, path)
     discard(spark, at["rows"])
     left = rest.count() if size else 0

@@ -480,3 +480,32 @@ def test_pairs_grow_with_lines(spark, monkeypatch):
     out = line_dedup.line_dedup(frame(spark, rows)).collect()
     assert sum(r.n_removed for r in out) == 199
     assert pairs and max(pairs) <= 10 * len(rows)
+
+
+def test_pairs_of_open_buckets_come_once(spark, monkeypatch):
+    """Two lines that share many open buckets are one row of their join, without a step that drops repeats."""
+    from groveline.llm import _links
+
+    cut, pairs = _links.cut, []
+
+    def counted(df, **more):
+        out = cut(df, **more)
+        if {"a", "b", "low", "high"} <= set(df.columns):
+            assert "Deduplicate" not in df._jdf.queryExecution().logical().toString().split("Join")[0]
+            pairs.append([frozenset((r.a, r.b)) for r in out.collect()])
+        return out
+
+    components, calls = _links.components, []
+    # As if no try at least ids had linked anything: all buckets of three and more are open.
+    monkeypatch.setattr(_links, "components", lambda edges: calls.append(1) or components(edges.limit(0) if len(calls) == 1 else edges))
+    monkeypatch.setattr(_links, "cut", counted)
+    rnd = random.Random(5)
+    base = [f"{rnd.choice(('alpha', 'beta', 'gamma', 'delta'))}{k}" for k in range(24)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for k in rnd.sample(range(24), rnd.choice((0, 1, 2, 3, 4))):
+            own[k] = "".join(rnd.choice("uvwxyz") for _ in range(6))
+        rows.append((i, " ".join(own)))
+    line_dedup.line_dedup(frame(spark, rows)).collect()
+    assert pairs and pairs[0] and len(pairs[0]) == len(set(pairs[0]))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groveline.llm import _words as W
-from groveline.llm._links import PACKED, Packer, link, most_bits, parity, parts
+from groveline.llm._links import PACKED, Packer, link, most_bits, parts
 from groveline.llm._shared import cut, read_table, release, repeats, slices
 
 SHINGLE, PERCENT = 5, 80
@@ -92,8 +92,10 @@ def _parity(low: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     key = (of.astype(np.uint64) << (np.uint64(64) - shift)) | (low >> shift)
     key.sort()
     key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-    of = (key >> (np.uint64(64) - shift)).astype(np.int64)
-    return np.bincount(of, minlength=n), parity((key << shift) >> np.uint64(24), of, n, BITS)
+    sizes = np.bincount((key >> (np.uint64(64) - shift)).astype(np.int64), minlength=n)
+    # The line and the upper bits of the hash, next to each other in the key, are the place of the bit.
+    odd = np.bincount((key >> (np.uint64(64 - BITS.bit_length() + 1) - shift)).astype(np.int64), minlength=n * BITS) & 1
+    return sizes, np.packbits(odd.astype(np.uint8).reshape(n, BITS), axis=1).view(np.int64)
 
 
 def _bands(bins: np.ndarray) -> np.ndarray:
@@ -219,7 +221,8 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     left.append(line)
                     continue
                 n += 1
-                own = line_id(line)
+                # Where nothing was found a line needs no id to be told from others.
+                own = line_id(line) if at else line
                 root = at.get(own, own)
                 if root is None or root in seen:
                     gone += 1
@@ -261,7 +264,8 @@ def line_dedup(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     owners = grouped.groupBy("component").agg(F.min("first").alias("owner"))
     grouped = cut(grouped.join(owners, "component").select("line", "component", "owner"))
     # A line goes from a document if its component (or the line alone) is first met in an earlier one.
-    moved = firsts.join(grouped, "line", "left").select("line", F.coalesce("owner", "first").alias("owner"), "component", "last").filter("component IS NOT NULL OR last > owner")
+    alone = firsts.filter("last > first").join(grouped, "line", "left_anti").select("line", F.col("first").alias("owner"), F.lit(None).cast("long").alias("component"))
+    moved = grouped.select("line", "owner", "component").unionByName(alone)
     hits = places.join(moved, "line").filter("doc_id > owner OR component IS NOT NULL")
     found = hits.groupBy("doc_id").agg(F.collect_set(F.struct("line", F.when(F.col("doc_id") == F.col("owner"), F.col("component")).alias("root"))).alias("found"))
     found = cut(found)

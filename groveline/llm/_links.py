@@ -276,10 +276,12 @@ def link(packed: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, sifts: S
     known = components(confirmed(sifted(rows.filter("least < id").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct())))
     merged = lambda edges: components(edges.union(known.select("id", "component")))
     rows = rows.filter("NOT two").select("band", "id")
-    turn, before = 0, float("inf")
+    turn, before, last = 0, float("inf"), None
     while True:
         path = scratch(spark)
         open_, cost, size = _open(rows, known, turn, path)
+        if last:
+            discard(spark, last)
         if cost <= WORTH * size or cost > LESS * before:
             break
         turn, before = turn + 1, cost
@@ -287,7 +289,8 @@ def link(packed: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, sifts: S
         tries = tries.select(F.col("id").alias("a"), F.explode("reps").alias("r")).select("a", F.col("r.rep").alias("b"))
         hopeful = sifted(tries).groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("b", F.lit(turn)).alias("k"), "b"))), 1, CONFIRMED).alias("bs"))
         known = merged(confirmed(cut(hopeful.select("a", F.explode("bs").alias("r")).select("a", F.col("r.b").alias("b")))))
-        discard(spark, path)
+        # Components only grow: a bucket of one stays closed.
+        rows, last = open_.select("band", "id"), path
         release(spark)
     # A pair that shares several open buckets is a row in the first of them only.
     own = open_.groupBy("id").agg(F.first("c").alias("c"), F.collect_set(F.struct("band", "main")).alias("at"))
@@ -323,9 +326,13 @@ def link(packed: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, sifts: S
 def _open(rows: DataFrame, known: DataFrame, turn: int, path: str) -> tuple[DataFrame, int, int]:
     """Members (band, id, c) of the buckets with several components, a random member ``rep`` of each bucket and its component ``main``,
     so most often the largest one; written at ``path``. Also the pairs that joining them all could make, and how many members."""
-    own = rows.join(known, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
+    spark = rows.sparkSession
+    # Read twice below, so written: the join is made once.
+    held = scratch(spark)
+    own = cut(rows.join(known, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c")), path=held)
     pick = F.min(F.struct(F.xxhash64("id", "band", F.lit(turn)).alias("h"), F.col("id").alias("rep"), F.col("c").alias("main")))
     mixed = own.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("all"), pick.alias("pick")).filter("low < high")
     out = cut(own.join(mixed.select("band", "all", "pick.rep", "pick.main"), "band"), path=path)
+    discard(spark, held)
     size, cost = out.agg(F.count(F.lit(1)), F.sum(F.when(F.col("c") != F.col("main"), F.col("all").cast("double")).otherwise(0.0))).first()
     return out, int(cost or 0), size

@@ -509,3 +509,41 @@ def test_pairs_of_open_buckets_come_once(spark, monkeypatch):
         rows.append((i, " ".join(own)))
     line_dedup.line_dedup(frame(spark, rows)).collect()
     assert pairs and pairs[0] and len(pairs[0]) == len(set(pairs[0]))
+
+
+def test_members_are_joined_once_a_round(spark, monkeypatch):
+    """A round joins each member once with its component, and a later one only those of buckets that were still open."""
+    from groveline.llm import _links
+
+    cut, open_, joins, rounds = _links.cut, _links._open, [], []
+
+    def counted(df, **more):
+        joins[-1] += df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter")
+        return cut(df, **more)
+
+    def watched(rows, known, turn, path):
+        joins.append(0)
+        members = rows.count()
+        with monkeypatch.context() as m:
+            m.setattr(_links, "cut", counted)
+            out, cost, size = open_(rows, known, turn, path)
+        rounds.append((members, size))
+        return out, cost, size
+
+    monkeypatch.setattr(_links, "_open", watched)
+    monkeypatch.setattr(_links, "WORTH", 0)
+    monkeypatch.setattr(_links, "LESS", 0.95)
+    rnd = random.Random(5)
+    base = [rnd.choice(("alpha", "beta", "gamma", "delta", "omega", "sigma")) + str(k) for k in range(24)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for k in rnd.sample(range(24), rnd.choice((0, 1, 2, 3, 4))):
+            own[k] = "".join(rnd.choice("uvwxyz") for _ in range(6))
+        rows.append((i, " ".join(own)))
+    # A bucket of three copies but for one word is closed from the start.
+    rows += [(200 + i, " ".join([f"other{k}" for k in range(60)] + [f"x{i}"])) for i in range(3)]
+    line_dedup.line_dedup(frame(spark, rows)).collect()
+    assert len(rounds) > 1 and rounds[0][1] < rounds[0][0]
+    assert joins == [1] * len(rounds)
+    assert all(members == size for (_, size), (members, _) in zip(rounds, rounds[1:], strict=False))
